@@ -77,5 +77,6 @@ def unpack_values(df: DataFrame, key: str, field: str) -> DataFrame:
     slot takes a position but gives no row.  Quotes that don't balance are plain characters.  A null, empty or blank
     field gives no row; repeated keys each give their rows; other columns of df, whatever their names, are left out.
     """
-    rows = packed_lists(df, key, field).select(key, F.posexplode("slots").alias("at", "value")).where("value <> ''")
+    # the outer form: the plain one has a filter inferred, into which every stage before would be copied
+    rows = packed_lists(df, key, field).select(key, F.posexplode_outer("slots").alias("at", "value")).where("value <> ''")
     return rows.select(key, (F.col("at") + 1).cast("int").alias("pos"), "value")
