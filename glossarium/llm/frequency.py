@@ -10,8 +10,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossarium.sources.session import materialized
-
 
 def _suffixes(max_n: int) -> Column:
     """ARRAY<STRUCT<t0..>>: the suffix at each position, as far as max_n terms; null beyond the record's end."""
@@ -28,13 +26,13 @@ def _intervals(max_n: int):
             if not batch.num_rows:
                 continue
             columns = [batch.column(j) for j in range(max_n + 1)]
-            weight = batch.column(max_n + 1).to_numpy()
+            weight, *again = (batch.column(max_n + 1 + j).to_numpy() for j in range(max_n + 1))
             shorter = np.ones(batch.num_rows, bool)  # the common prefix with the suffix before is shorter than n
-            shorter[1:] = pc.fill_null(pc.not_equal(columns[0].slice(1), columns[0].slice(0, batch.num_rows - 1)), True).to_numpy(zero_copy_only=False)
-            for n in range(1, max_n + 1):
-                shorter[1:] |= pc.fill_null(pc.not_equal(columns[n].slice(1), columns[n].slice(0, batch.num_rows - 1)), True).to_numpy(zero_copy_only=False)
+            for n in range(max_n + 1):
+                shorter[1:] = shorter[1:] & (n > 0) | pc.fill_null(pc.not_equal(columns[n].slice(1), columns[n].slice(0, batch.num_rows - 1)), True).to_numpy(zero_copy_only=False)
+                if n == 0:
+                    continue
                 starts = np.flatnonzero(shorter)
-                sums = np.add.reduceat(weight, starts)
                 whole = columns[n].take(pa.array(starts)).is_valid().to_numpy(zero_copy_only=False)
                 at = pa.array(starts[whole])
                 if not len(at):
@@ -43,7 +41,8 @@ def _intervals(max_n: int):
                 for j in range(n):
                     flat[j::n] = columns[j + 1].take(at).to_numpy(zero_copy_only=False)
                 gram = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, n), pa.int32()), pa.array(flat, pa.string()))
-                yield pa.RecordBatch.from_arrays([columns[0].take(at), gram, pa.array(sums[whole], pa.int64())], names=["field", "gram", "occurrences"])
+                sums = (pa.array(np.add.reduceat(x, starts)[whole], pa.int64()) for x in (weight, again[n - 1]))
+                yield pa.RecordBatch.from_arrays([columns[0].take(at), gram, *sums], names=["field", "gram", "occurrences", "again"])
 
     return run
 
@@ -52,32 +51,31 @@ def ngram_frequencies(rows: DataFrame, max_n: int = 3) -> DataFrame:
     """(field, gram ARRAY<STRING>, n, occurrences, records) of every n-gram of up to max_n terms.
 
     rows: (field STRING, terms ARRAY<STRING>), one row per record; each row counts as a record of its own, repeated rows
-    too.  Every position gives a suffix of max_n terms; equal suffixes are first added up map-side, which takes the
-    weight off frequent terms.  The distinct suffixes are then sorted by range over the whole cluster, and the
-    intervals of common prefixes give the occurrences of the n-grams of every length at once; intervals that cross a
-    batch or partition are put together by a last sum over distinct n-grams.  Records are occurrences less the
-    duplicates inside a record: neighbours in the sorted suffixes of one record that share the n-gram.
+    too.  Every position gives a suffix of max_n terms.  The suffixes of one record are sorted, and each takes along, for
+    every n, whether it shares its n-gram with its neighbour before: a duplicate inside the record.  Equal suffixes of
+    all records are then added up map-side, which takes the weight off frequent terms, and the distinct suffixes are
+    sorted by range over the whole cluster.  The intervals of common prefixes give the occurrences of the n-grams of
+    every length at once, and the records as occurrences less duplicates; intervals that cross a batch or a partition are
+    put together by a last sum over distinct n-grams.
 
     Null or empty terms lists and null terms give nothing; a null field is a field of its own; an empty table gives no
-    rows; further columns are ignored.  The rows are computed once and kept in the checkpoint folder.
+    rows; further columns are ignored.
     """
-    names = [f"t{j}" for j in range(max_n)]
-    rows = materialized(rows.select(F.col("field").cast("string").alias("field"), F.filter("terms", lambda t: t.isNotNull()).alias("terms")))
-    counted = rows.select("field", F.inline_outer(_suffixes(max_n))).toDF("field", *names).where("t0 is not null").groupBy("field", *names).agg(F.count(F.lit(1)).alias("weight"))
+    names, marks = [f"t{j}" for j in range(max_n)], [f"a{j}" for j in range(max_n)]
+    x = rows.select(F.col("field").cast("string").alias("field"), F.filter("terms", lambda t: t.isNotNull()).alias("terms"))
+    x = x.withColumn("s", F.sort_array(_suffixes(max_n)))
+    none = F.lit(None).cast(x.schema["s"].dataType.elementType)
+    before = F.concat(F.array(none), F.slice("s", 1, F.greatest(F.size("s") - 1, F.lit(0))))
+    x = x.select("field", F.inline_outer(F.arrays_zip(F.col("s").alias("s"), before.alias("p")))).toDF("field", "s", "p").where("s.t0 is not null")
+    same, shared = F.lit(True), {}
+    for n, m in zip(names, marks):
+        same = same & F.coalesce(F.col("s").getField(n) == F.col("p").getField(n), F.lit(False))
+        shared[m] = same.cast("int")
+    x = x.select("field", "s.*", *(c.alias(m) for m, c in shared.items()))
+    counted = x.groupBy("field", *names).agg(F.count(F.lit(1)).alias("weight"), *(F.sum(m).alias(m) for m in marks))
     in_order = counted.repartitionByRange("field", *names).sortWithinPartitions("field", *names)
-    found = in_order.mapInArrow(_intervals(max_n), "field string, gram array<string>, occurrences long")
-
-    repeated = rows.where(F.size("terms") > F.size(F.array_distinct("terms"))).select("field", F.array_sort(_suffixes(max_n)).alias("s"))
-    pairs = repeated.select("field", F.inline(F.arrays_zip(F.col("s").alias("a"), F.slice("s", 2, F.size("s") - 1).alias("b")))).toDF("field", "a", "b")
-    same, shared = F.lit(True), F.lit(0)
-    for j in range(max_n):
-        same = same & F.coalesce(F.col("a").getField(f"t{j}") == F.col("b").getField(f"t{j}"), F.lit(False))
-        shared = shared + same.cast("int")
-    pairs = pairs.withColumn("shared", shared).where("shared > 0")
-    grams = F.array(*(F.col("a").getField(n) for n in names))
-    twice = pairs.select("field", grams.alias("gram"), F.explode(F.sequence(F.lit(1), F.col("shared"))).alias("n")).select("field", F.slice("gram", F.lit(1), F.col("n")).alias("gram"))
-    both = found.withColumn("again", F.lit(0).cast("long")).unionByName(twice.select("field", "gram", F.lit(0).cast("long").alias("occurrences"), F.lit(1).cast("long").alias("again")))
-    total = both.groupBy("field", "gram").agg(F.sum("occurrences").alias("occurrences"), (F.sum("occurrences") - F.sum("again")).alias("records"))
+    found = in_order.mapInArrow(_intervals(max_n), "field string, gram array<string>, occurrences long, again long")
+    total = found.groupBy("field", "gram").agg(F.sum("occurrences").alias("occurrences"), (F.sum("occurrences") - F.sum("again")).alias("records"))
     return total.select("field", "gram", F.size("gram").alias("n"), "occurrences", "records")
 
 
