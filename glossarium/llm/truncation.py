@@ -120,7 +120,7 @@ def edge_scores(df: DataFrame, key: str, text: str, salts: int = 32) -> DataFram
     texts = _texts(df, key, text)
     plain = texts.select("text", "front", "back")
     model = plain.mapInPandas(_count, "key long, seen long, edge long").groupBy("key").agg(F.sum("seen").alias("seen"), F.sum("edge").alias("edge"))
-    final = texts.mapInPandas(_final, f"id {id_type}, side string, keys array<long>").withColumn("last", F.element_at("keys", -1))
+    final = texts.mapInPandas(_final, f"id {id_type}, side string, keys array<long>").withColumn("last", F.get("keys", F.size("keys") - 1))
     contexts = final.where("last is not null").groupBy("side", "last").agg(F.first("keys").alias("keys")).select("side", "last", F.posexplode("keys").alias("k", "key"))
     joined = contexts.join(model, "key").groupBy("side", "last").agg(F.array_sort(F.collect_list(F.struct("k", "seen", "edge"))).alias("orders"))
     share = F.aggregate("orders", F.lit(0.02), lambda p, o: (o["edge"] + 3 * p) / (o["seen"] + 3))
