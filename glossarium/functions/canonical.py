@@ -113,25 +113,30 @@ def _patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern, dict[int, str], re.
         return "".join(re.escape(chr(a)) + ("-" + re.escape(chr(b)) if a < b else "") for a, b in _ranges(set(points)))
 
     unstable = chars({*single, *marks, *map(ord, LOOKALIKES)})
-    run = re.compile(rf"[\w{unstable}]*[{unstable}][\w{unstable}]*")
+    run = re.compile(rf"[\w{unstable}]+")
+    letters = re.compile(r"[^\W\d_]+")
     look = "".join(map(re.escape, LOOKALIKES))
-    letters = re.compile(rf"[^\W\d_]*(?:[{LATIN}][{look}]|[{look}][{LATIN}])[^\W\d_]*")
-    whole = re.compile(rf"[{LATIN}{look}]+")
-    return re.compile(f"[{unstable}]"), run, letters, str.maketrans(LOOKALIKES), whole
+    mixed = re.compile(rf"(?=[{LATIN}]*[{look}])(?=[{look}]*[{LATIN}])[{LATIN}{look}]+")
+    return re.compile(f"[{unstable}]"), run, letters, str.maketrans(LOOKALIKES), mixed
 
 
 def _segment(match: re.Match) -> str:
     single, _ = _tables()
-    _, _, letters, look, whole = _patterns()
-    text = unicodedata.normalize("NFC", match.group().translate(single))
-    return letters.sub(lambda m: m.group().translate(look) if whole.fullmatch(m.group()) else m.group(), text)
+    unstable, _, letters, look, mixed = _patterns()
+    text = match.group()
+    if not unstable.search(text):
+        return text
+    text = unicodedata.normalize("NFC", text.translate(single))
+    text = letters.sub(lambda m: m.group().translate(look) if mixed.fullmatch(m.group()) else m.group(), text)
+    return unicodedata.normalize("NFC", text)
 
 
 def canonical_text(text: str | None) -> str | None:
     """The consistent form of one text; the same rule that canonical_form() applies to a column."""
-    if not text or text.isascii() and not _patterns()[0].search(text):
+    unstable, run, *_ = _patterns()
+    if not text or not unstable.search(text):
         return text
-    return _patterns()[1].sub(_segment, text)
+    return " ".join(run.sub(_segment, part) if unstable.search(part) else part for part in text.split(" "))
 
 
 def _splice(text: Column) -> Column:
