@@ -117,4 +117,10 @@ def p8_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_quotas, p2_sample, p3_found, p3_rates, p4_found, p4_consistent, p4_report, p6_found, p6_items, p7_found, p7_mixture, p7_report, p8_found, p8_levels)}
-ORACLES: dict[str, str] = {}
+_PLAIN = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+_PARTS = r"array_to_string(list_sort([x for x in regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+') if x <> '']), '+')"
+_SUPPLY = f"""WITH c AS (SELECT {_PLAIN.format("model")} AS m, CASE WHEN grade IS NOT NULL THEN {_PARTS.format("grade")} END AS g, is_future, count(DISTINCT (upper(trim(id, ' ')), {_PLAIN.format("model")})) AS available
+ FROM neighborhood_key WHERE id IS NOT NULL AND model IS NOT NULL AND grade IS NOT NULL AND is_future IS NOT NULL GROUP BY ALL),
+ s AS (SELECT t.*, share * sample_size AS wanted, coalesce(available, 0) AS available FROM sample_targets t LEFT JOIN c ON c.m = {_PLAIN.format("t.model")} AND c.g = {_PARTS.format("t.grade")} AND c.is_future = t.is_future)"""
+#: The others can't be said in SQL (models, walks, tokenizers, Unicode tables); they are tested by brute force.
+ORACLES: dict[str, str] = {"p2_found": _SUPPLY + " SELECT target_set, model, grade, is_future FROM s WHERE available < greatest(wanted, min_rows)"}
