@@ -554,3 +554,73 @@ def q45_allocation_variance(spark: SparkSession, d: str) -> DataFrame:
     x = x.withColumn("even", F.sum("n").over(Window.partitionBy("model")) / 3).withColumn("p", F.col("k") / F.col("n"))
     var = lambda n: F.sum(F.when((F.col("k") > 0) & (F.col("k") < F.col("n")), (1 - F.col("p")) / (F.col(n) * F.col("p"))).otherwise(F.lit(float("inf"))))
     return x.groupBy("model").agg(F.round(var("n"), 9).alias("variance"), F.round(var("even"), 9).alias("variance_even"))
+
+
+# ---------------------------------------------------------------- further readings
+
+_LATINATE = "(tion|sion|ity|ology|ism|ation|ator|icity|ometry|osis)$"
+
+
+@query(f"""WITH {_CUES}, r AS (SELECT model, is_future, avg(outcome::INT) FILTER (cue) AS with_cue, avg(outcome::INT) FILTER (NOT cue) AS without, count(*) AS n FROM cu GROUP BY ALL)
+ SELECT p.model, p.n AS n_post, q.n AS n_past, round(p.with_cue - p.without, 9) AS post_gap, round(q.with_cue - q.without, 9) AS past_gap, round((p.with_cue - p.without) - (q.with_cue - q.without), 9) AS difference, CASE WHEN q.with_cue > 0 THEN round(p.with_cue / q.with_cue, 9) END AS lift FROM r p JOIN r q USING (model) WHERE p.is_future = 1 AND q.is_future = 0""")
+def q46_difference_in_differences(spark: SparkSession, d: str) -> DataFrame:
+    """How much more a cue in the prompt helps beyond the cutoff than before it."""
+    rate = lambda c: F.avg(F.when(c, F.col("outcome").cast("int")))
+    r = _cues(spark, d).groupBy("model", "is_future").agg(rate(F.col("cue")).alias("w"), rate(~F.col("cue")).alias("o"), F.count(F.lit(1)).alias("n"))
+    side = lambda v, x: r.where(F.col("is_future") == v).select("model", *(F.col(c).alias(f"{x}{c}") for c in ("w", "o", "n")))
+    x = side(1, "p").join(side(0, "q"), "model")
+    post, past = F.col("pw") - F.col("po"), F.col("qw") - F.col("qo")
+    return x.select("model", F.col("pn").alias("n_post"), F.col("qn").alias("n_past"), F.round(post, 9).alias("post_gap"), F.round(past, 9).alias("past_gap"), F.round(post - past, 9).alias("difference"), F.when(F.col("qw") > 0, F.round(F.col("pw") / F.col("qw"), 9)).alias("lift"))
+
+
+@query(f"WITH {_P} SELECT model, CAST(is_future AS INT) AS is_future, count(*) AS n, round(avg(CASE WHEN regexp_matches(target, '{_LATINATE}') THEN 1 ELSE 0 END), 9) AS latinate FROM p WHERE target <> '' GROUP BY ALL")
+def q47_latinate_share(spark: SparkSession, d: str) -> DataFrame:
+    x = predictions.predictions(spark, d).withColumn("target", norm(F.col("target_word"))).where("target <> ''")
+    return x.groupBy("model", "is_future").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("target").rlike(_LATINATE).cast("int")), 9).alias("latinate"))
+
+
+@query(f"WITH {_P} SELECT target AS word, min(entry_year) AS first_year, count(DISTINCT model) AS n_models, count(*) AS n FROM p WHERE target <> '' GROUP BY target")
+def q48_dated_lexicon(spark: SparkSession, d: str) -> DataFrame:
+    x = predictions.predictions(spark, d).withColumn("word", norm(F.col("target_word"))).where("word <> ''")
+    return x.groupBy("word").agg(F.min("entry_year").alias("first_year"), F.countDistinct("model").alias("n_models"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT item_id, count(*) AS n_rows, min(rank) FILTER (rank > 0) AS best_rank FROM postcutoff_words WHERE model IN (SELECT model FROM models) GROUP BY item_id HAVING count(DISTINCT model) = 3")
+def q49_items_of_all_models(spark: SparkSession, d: str) -> DataFrame:
+    """The pool of items that all three decoded models share."""
+    g = predictions.predictions(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_rows"), F.min(F.when(F.col("rank") > 0, F.col("rank"))).alias("best_rank"), F.countDistinct("model").alias("n"))
+    return g.where("n = 3").drop("n")
+
+
+@query(f"""WITH {_P}, {_LEX}, tw AS (SELECT model, target, rank, {_SUFFIX} AS ending FROM p WHERE length(target) >= 7 AND regexp_full_match(target, '\\p{{L}}+'))
+ SELECT model, ending, count(*) AS n, count(*) FILTER (coalesce(n_docs, 0) <= 3) AS n_technical, round(avg({_HIT}) FILTER (coalesce(n_docs, 0) <= 3), 9) AS technical_recall FROM tw LEFT JOIN lex ON lex.word = tw.target WHERE ending <> '' GROUP BY ALL""")
+def q50_technical_words(spark: SparkSession, d: str) -> DataFrame:
+    """Long targets with a learned ending that few documents know, and how often they are recalled."""
+    x = predictions.predictions(spark, d).select("model", norm(F.col("target_word")).alias("word"), "rank").where(F.col("word").rlike(r"^\p{L}{7,}$")).withColumn("ending", neighborhood.longest_suffix(F.col("word"))).where("ending <> ''")
+    rare = F.coalesce("n_docs", F.lit(0)) <= 3
+    g = x.join(_lexicon(spark, d), "word", "left").groupBy("model", "ending")
+    return g.agg(F.count(F.lit(1)).alias("n"), F.count_if(rare).alias("n_technical"), F.round(F.avg(F.when(rare, predictions.hit(F.col("rank"), 100))), 9).alias("technical_recall"))
+
+
+@query(f"""WITH {_P}, l AS (SELECT item_id, model, arg_max(words, row_id) AS ws, arg_max(target, row_id) AS t FROM p GROUP BY ALL),
+ s AS (SELECT item_id, model, [w for w in list_distinct([lower(trim(v, ' ')) for v in ws]) if w <> t AND length(t) >= 5 AND left(w, 5) = left(t, 5)] AS g FROM l),
+ j AS (SELECT a.item_id, len(a.g) AS na, len(b.g) AS nb, len(list_intersect(a.g, b.g)) AS nc FROM s a JOIN s b USING (item_id) WHERE a.model = 'talkie-base' AND b.model = 'talkie-web'),
+ k AS (SELECT item_id, na * (na - 1) / 2 AS pa, nb * (nb - 1) / 2 AS pb, nc * (nc - 1) / 2 AS pc FROM j)
+ SELECT item_id, CASE WHEN pa = 0 AND pb = 0 THEN 1.0 WHEN pa = 0 OR pb = 0 THEN 0.0 ELSE round(pc / pa, 9) END AS precision, CASE WHEN pa = 0 AND pb = 0 THEN 1.0 WHEN pa = 0 OR pb = 0 THEN 0.0 ELSE round(pc / pb, 9) END AS recall FROM k""")
+def q51_pair_membership(spark: SparkSession, d: str) -> DataFrame:
+    """Agreement of two models on which words belong together, by pairs: words that start like the target."""
+    x = predictions.predictions(spark, d).withColumn("t", norm(F.col("target_word"))).groupBy("item_id", "model").agg(F.max_by("words", "row_id").alias("words"), F.max_by("t", "row_id").alias("t"))
+    group = F.filter(F.array_distinct(F.transform("words", norm)), lambda w: (w != F.col("t")) & (F.length("t") >= 5) & (F.left(w, F.lit(5)) == F.left("t", F.lit(5))))
+    x = x.withColumn("g", group)
+    a, b = x.where("model = 'talkie-base'").select("item_id", F.col("g").alias("a")), x.where("model = 'talkie-web'").select("item_id", F.col("g").alias("b"))
+    pairs = lambda n: n * (n - 1) / 2
+    j = a.join(b, "item_id").select("item_id", pairs(F.size("a")).alias("pa"), pairs(F.size("b")).alias("pb"), pairs(F.size(F.array_intersect("a", "b"))).alias("pc"))
+    share = lambda n: F.when((F.col("pa") == 0) & (F.col("pb") == 0), 1.0).when((F.col("pa") == 0) | (F.col("pb") == 0), 0.0).otherwise(F.round(F.col("pc") / F.col(n), 9))
+    return j.select("item_id", share("pa").alias("precision"), share("pb").alias("recall"))
+
+
+@query("""WITH x AS (SELECT TRY_CAST(left(labelled_at, 10) AS DATE) AS day, upper(sheet) AS sheet, form FROM label_log) SELECT strftime(day, '%Y-%m-%d') AS day, sheet, count(*) AS n, count(form) AS n_labelled FROM x GROUP BY ALL""")
+def q52_labels_by_day(spark: SparkSession, d: str) -> DataFrame:
+    """Labels a day and sheet, whichever of its formats the time is written in."""
+    day = F.date_format(F.left("labelled_at", F.lit(10)).try_cast("date"), "yyyy-MM-dd")
+    return table(spark, d, "label_log").groupBy(day.alias("day"), F.upper("sheet").alias("sheet")).agg(F.count(F.lit(1)).alias("n"), F.count("form").alias("n_labelled"))
