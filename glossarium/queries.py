@@ -214,7 +214,17 @@ def q12_overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("run").agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("id").alias("n_lists"), F.min("a").alias("first_a"))
 
 
-@query()
+_GROUPS = f"""WITH RECURSIVE n AS (SELECT id, w, min(pos) AS pos FROM (SELECT failure_id AS id, lower(trim(unnest(words), ' ')) AS w, unnest(range(len(words))) AS pos FROM judge_failures) GROUP BY ALL),
+ e AS (SELECT x.id, x.pos AS a, y.pos AS b FROM n x JOIN n y ON x.id = y.id AND x.w <> y.w WHERE length(x.w) >= 3 AND length(y.w) >= 3 AND list_has_any({_GRAMS.format(w="x.w")}, {_GRAMS.format(w="y.w")})),
+ r AS (SELECT id, pos AS a, pos AS b FROM n UNION SELECT r.id, r.a, e.b FROM r JOIN e ON r.id = e.id AND r.b = e.a), c AS (SELECT id, a AS pos, min(b) AS comp FROM r GROUP BY ALL), s AS (SELECT id, comp, count(*) AS size FROM c GROUP BY ALL),
+ b AS (SELECT id, arg_max(comp, (size, -comp)) AS comp, max(size) AS size FROM s GROUP BY id), m AS (SELECT n.id, n.w FROM c JOIN b ON c.id = b.id AND c.comp = b.comp JOIN n ON n.id = c.id AND n.pos = c.pos WHERE size >= 2),
+ i AS (SELECT x.id, CASE WHEN length(x.w) <= length(y.w) THEN x.w ELSE y.w END AS lo, CASE WHEN length(x.w) <= length(y.w) THEN y.w ELSE x.w END AS hi FROM m x JOIN m y ON x.id = y.id AND x.w <> y.w),
+ k AS (SELECT DISTINCT id FROM i WHERE NOT (hi IN (lo || 's', lo || 'es', lo || 'ed', lo || 'ing') OR ends_with(lo, 'e') AND hi IN (left(lo, length(lo) - 1) || 's', left(lo, length(lo) - 1) || 'es', left(lo, length(lo) - 1) || 'ed', left(lo, length(lo) - 1) || 'ing'))),
+ g AS (SELECT id, count(*) AS form_n, string_agg(w, '|' ORDER BY w) AS members FROM m JOIN k USING (id) GROUP BY id)
+ SELECT failure_id AS id, CAST(coalesce(form_n, 0) AS INT) AS form_n, coalesce(members, '') AS members FROM judge_failures LEFT JOIN g ON g.id = failure_id"""
+
+
+@query(_GROUPS)
 def q13_form_groups(spark: SparkSession, d: str) -> DataFrame:
     return neighborhood.form_groups(spread(table(spark, d, "judge_failures").select(F.col("failure_id").alias("id"), "words")))
 
