@@ -21,7 +21,7 @@ def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
     """(id, text, front, back): non-blank texts without outer blanks and cut marks.  front is the form in which a text
     starts and back that in which it ends; as a form of writing shapes what may follow it, each has a model of its own."""
     t = F.col("text")
-    rows = df.select(df[key].alias("id"), df[text].alias("text")).where("text is not null")
+    rows = df.select(df[key].alias("id"), df[text].alias("text")).where("id is not null and text is not null")
     rows = rows.withColumn("text", F.regexp_replace(F.regexp_replace(t, _CUT_END, ""), _CUT_START, "")).where("text <> ''")
     opened = F.regexp_replace(F.regexp_extract(t, r"^(?:```[a-z]*\s*)?[\[{\s]*", 0), r"\s|[a-z]", "")
     closed = F.regexp_replace(F.regexp_extract(t, r"[\]}\s]*(?:```\s*)?$", 0), r"\s", "")
@@ -132,7 +132,7 @@ def truncated_texts(df: DataFrame, key: str, text: str, threshold: float = -0.5)
     """(key, lost_end, lost_start, end_score, start_score), a row for each non-blank text.
 
     An edge is lost where the log-odds of edge_scores() are below the threshold.  An exact check follows: a text whose
-    last character is a comma, a colon or an opening bracket has lost its end.  Null and blank texts give no row; a text
+    last character is a comma, a colon or an opening bracket has lost its end.  Null keys and null and blank texts give no row; a text
     of one character has no context, and only the exact check applies.  Repeated keys give one row; further columns are
     ignored.
     """

@@ -189,3 +189,17 @@ def test_reading_levels(spark):
     assert all((got[i].level >= 4) == bool(i % 2) for i in range(200, 300))
     none = reading.reading_levels(df, "doc_id", "text", "lang", ratings.limit(0))
     assert none.count() == 301 and reading.reading_levels(df.limit(0), "doc_id", "text", "lang", ratings).count() == 0
+
+
+def test_null_keys_and_clashing_columns(spark):
+    cols = "doc_id long, text string, lang string, key string, id string, item string, windows int, score double, level int, tokens long"
+    rows = [(None, "one two three four five six seven eight", "en", *[None] * 7), (2**60 + 1, "One two, three four five six seven eight!", "en", *[None] * 7), (2**60 + 1, "One two, three four five six seven eight!", "en", *[None] * 7)]
+    df = spark.createDataFrame(rows, cols)
+    items = spark.createDataFrame([("a", "one two three four five six seven eight nine")], "item_id string, text string")
+    got = leakage.leaked_passages(df, "doc_id", "text", items, "item_id", "text").collect()
+    assert [(r.doc_id, r.item_id, r.edits) for r in got] == [(2**60 + 1, "a", 0)] * 2
+    assert [r.doc_id for r in truncation.truncated_texts(df, "doc_id", "text").collect()] == [2**60 + 1]
+    levels = reading.reading_levels(df, "doc_id", "text", "lang", spark.createDataFrame([(1, 2, None)], "doc long, level int, rater string"))
+    assert [r.doc_id for r in levels.collect()] == [2**60 + 1] * 2
+    sizes = mixing.document_sizes(df, "doc_id", "text", "item")
+    assert sizes.count() == 3 and sizes.where("source is null and tokens > 0").count() == 3
