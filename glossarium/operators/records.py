@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossarium.plans.prefix import numbered
+
 # The fields that a judge's answer must have.
 REQUIRED = ("form_group", "form_basis", "form_kind", "form_inflection_discounted", "rationale")
 
@@ -21,9 +23,11 @@ def upsert(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return base.join(changes.select(key), key, "left_anti").unionByName(changes)
 
 
-def once_per_batch(items: DataFrame, value: Column, order: str) -> DataFrame:
-    """items with `batch`: the number of earlier rows of the same value, so that no value repeats inside a batch."""
-    return items.withColumn("_v", value).withColumn("batch", (F.row_number().over(Window.partitionBy("_v").orderBy(order)) - 1).cast("int")).drop("_v")
+def once_per_batch(items: DataFrame, value: Column, order: str, block: int = 10_000) -> DataFrame:
+    """items with `batch`: the number of earlier rows of the same value, so that no value repeats inside a batch.  A hot
+    value is counted by blocks of the order column (a whole number), never sorted in one task."""
+    x = numbered(items.withColumn("_v", value), ["_v"], [order], F.floor(F.col(order) / block), "_place")
+    return x.withColumn("batch", (F.col("_place") - 1).cast("int")).drop("_v", "_place")
 
 
 def shards(items: DataFrame, size: Column, order: str, most: int, block: int = 10_000) -> DataFrame:

@@ -10,11 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossarium.plans.prefix import numbered
+
 
 def draw_key(seed: int, *columns: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns)))
 
 
+def draw_bucket(draw: Column) -> Column:
+    """One of 4,096 buckets in the order of the draw keys."""
+    return F.left(draw, F.lit(3))
+
+
 def stratified(items: DataFrame, cell: list[str], key: str, quota: int, seed: int = 20260806, salts: int = 16) -> DataFrame:
     """The quota rows of each cell with the smallest draw keys; key must be unique.  Salted parts of a cell are cut down
     to the quota first."""
@@ -29,7 +36,7 @@ def matched(pool: DataFrame, need: DataFrame, cell: list[str], key: str, seed: i
     wanted = need.groupBy(*cell).agg(F.count(F.lit(1)).alias("need"))
     have = pool.groupBy(*cell).agg(F.count(F.lit(1)).alias("have"))
     x = pool.withColumn("_draw", draw_key(seed, key)).join(wanted, cell)
-    drawn = x.withColumn("_rn", F.row_number().over(Window.partitionBy(*cell).orderBy("_draw"))).where("_rn <= need").drop("_draw", "_rn", "need")
+    drawn = numbered(x, cell, ["_draw"], draw_bucket(F.col("_draw")), "_rn").where("_rn <= need").drop("_draw", "_rn", "need")
     short = wanted.join(have, cell, "left").withColumn("have", F.coalesce("have", F.lit(0).cast("long"))).withColumn("short", F.greatest(F.col("need") - F.col("have"), F.lit(0).cast("long")))
     return drawn, short
 
@@ -56,3 +63,28 @@ def permuted_pairs(items: DataFrame, key: str, payload: str, shards: int = 1024,
     x = items.withColumn("_shard", F.pmod(F.conv(F.substring(draw_key(seed, key), 1, 6), 16, 10).cast("int"), F.lit(shards))).withColumn("_draw", draw_key(seed + 1, key))
     w = Window.partitionBy("_shard").orderBy("_draw")
     return x.withColumn("other", F.coalesce(F.lead(payload).over(w), F.first(payload).over(w))).drop("_shard", "_draw")
+
+
+def shuffled(words: Column, key: Column, seed: int = 20260806) -> Column:
+    """The words of one row in an order fixed by seed, key and word; null for null."""
+    marked = F.transform(words, lambda w: F.concat(F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"), w)), w))
+    return F.transform(F.array_sort(marked), lambda m: F.substring(m, F.lit(33), F.length(m)))
+
+
+def whole_items(rows: DataFrame, item: str, n: int, seed: int = 20260813) -> DataFrame:
+    """All rows of n items, or of all if there are fewer: items are drawn, not rows.  Rows without an item are left out.
+    The drawn keys, at most n, are what is broadcast."""
+    keys = rows.where(F.col(item).isNotNull()).groupBy(item).agg(F.min(draw_key(seed, item)).alias("_draw")).orderBy("_draw").limit(n)
+    return rows.join(F.broadcast(keys.select(item)) if n <= 100_000 else keys.select(item), item, "left_semi")
+
+
+def with_backfill(items: DataFrame, cell: list[str], part: str, key: str, quotas: DataFrame, per_cell: int, seed: int = 20260814) -> DataFrame:
+    """per_cell rows of each cell: first up to the quota of each part, then the next by draw from whatever is left.
+
+    quotas: (part, quota); parts without one only fill gaps.  A cell with fewer rows gives all it has.  A part is cut to
+    per_cell rows by salted draws first, which can't lose a row that would be taken."""
+    x = stratified(items, [*cell, part], key, per_cell, seed).withColumn("_draw", draw_key(seed, key))
+    x = x.withColumn("_rn", F.row_number().over(Window.partitionBy(*cell, part).orderBy("_draw"))).join(quotas, part, "left")
+    x = x.withColumn("filled", (F.col("_rn") > F.coalesce("quota", F.lit(0))).cast("int"))
+    place = F.row_number().over(Window.partitionBy(*cell).orderBy("filled", "_draw"))
+    return x.withColumn("_place", place).where(F.col("_place") <= per_cell).select(key, *cell, part, "filled")

@@ -31,6 +31,24 @@ def running_totals(df: DataFrame, group: list[str], order: str, tie: list[str],
     return rows.join(totals, same).withColumn("before", F.col("_earlier") + F.coalesce(F.sum(amount).over(inside), F.lit(0))).drop("_bucket", "_b", "_earlier", *keys)
 
 
+def numbered(df: DataFrame, group: list[str], order: list[str], bucket: Column, out: str) -> DataFrame:
+    """df with `out`: the place of each row in its group by order, from 1.
+
+    bucket must never fall where the order rises.  Rows are counted by bucket first and sorted only inside their bucket,
+    so that a hot group is spread over many tasks.  Null groups form a group of their own.
+    """
+    rows = df.withColumn("_bucket", bucket)
+    keys = [f"_k{i}" for i in range(len(group))]
+    counts = rows.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*(F.col(g).alias(k) for g, k in zip(group, keys)), F.col("_bucket").alias("_b"), earlier.alias("_earlier"))
+    same = F.col("_bucket").eqNullSafe(F.col("_b"))
+    for g, k in zip(group, keys):
+        same = same & F.col(g).eqNullSafe(F.col(k))
+    place = F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(*order))
+    return rows.withColumn("_place", place).join(counts, same).withColumn(out, F.col("_earlier") + F.col("_place")).drop("_bucket", "_b", "_earlier", "_place", *keys)
+
+
 def hashed_order(*columns: str, seed: int = 0) -> Column:
     """A DOUBLE in [0, 1), spread evenly and fixed by the columns and the seed."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11).cast("double") / F.lit(float(1 << 53))
