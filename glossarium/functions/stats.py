@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -105,3 +108,52 @@ def stars(g: Column) -> Column:
     for least, mark in reversed(STARS):
         out = F.when(g >= least, mark).otherwise(out)
     return out
+
+
+def upper_tail(k: Column, n: Column, p: Column) -> Column:
+    """P(X >= k) of a binomial X with n trials, summed term by term; for the short lists of words.  1 for p >= 1."""
+
+    def add(acc: Column, i: Column) -> Column:
+        term = F.when(i == 0, acc["term"]).otherwise(acc["term"] * (n - i + 1) / F.greatest(i, F.lit(1)) * p / (1 - p))
+        return F.struct(term.alias("term"), (acc["total"] + F.when(i >= k, term).otherwise(0.0)).alias("total"))
+
+    total = F.aggregate(F.sequence(F.lit(0), n), F.struct(F.pow(1 - p, n).alias("term"), F.lit(0.0).alias("total")), add)["total"]
+    return F.when(p >= 1, 1.0).otherwise(total)
+
+
+def _beta_share(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function by its continued fraction, whose length grows with the root of a + b."""
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_share(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    h = d
+    for j in range(1, 60 + 4 * math.isqrt(int(a + b))):
+        m = (j + 1) // 2
+        term = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if j % 2 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d, c = 1 / (1 + term * d), 1 + term / c
+        h *= c * d
+    return front * h
+
+
+def exact_odds(b: int, c: int, upper: bool) -> float:
+    """A bound of the exact 95 % interval of the odds b : c (Clopper and Pearson's on b of b + c); 0 and infinite where
+    nothing is discordant or one side is empty."""
+    if (c if upper else b) == 0:
+        return math.inf if upper else 0.0
+    one, two, level = (b + 1, c, 0.975) if upper else (b, c + 1, 0.025)
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if _beta_share(one, two, mid) < level else (low, mid)
+    return mid / (1 - mid)
+
+
+def paired_odds_bound(b: Column, c: Column, upper: bool) -> Column:
+    """exact_odds on columns of counts, which are aggregates already: few rows reach Python.  Null for null counts."""
+
+    @F.pandas_udf("double")
+    def bound(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([exact_odds(int(i), int(j), upper) if i == i and j == j else None for i, j in zip(x, y)], dtype="float64")
+
+    return bound(b, c)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossarium.functions.text import shares_run
+
 MIN_CHARS, MIN_SHARE = 40, 0.6
 
 
@@ -34,16 +36,39 @@ def deletion_status(before: Column, after: Column, word: Column) -> Column:
     return F.when(low, "donor_survives").when(after.rlike("[,;:][A-Za-z]"), "punctuation_artifact").when(after == "", "empty").when(short, "too_much_removed").otherwise("ok")
 
 
-def nearest_by_frequency(words: DataFrame, counts: DataFrame, band: float = 1.5) -> DataFrame:
-    """(word, substitute, gap): for each word the candidate of the same length and first letter class nearest to it in
-    log10 frequency, within the band, ties by the alphabet; candidates share no three letters' beginning with it.
+def screened(pairs: DataFrame, lexicon: DataFrame, band: float = 1.5) -> DataFrame:
+    """pairs (target, word) with `gap` and `reason`, the first of: not_letters, same_stem, overlaps_target (three letters
+    in a row), not_attested, frequency_band (log10 frequencies further apart than band) or kept.
+
+    lexicon: (word, n).  A target that isn't in it counts as 0.  Each pair is judged once; null words give nothing."""
+    x = pairs.select("target", "word").where("target is not null and word is not null").distinct()
+    x = x.join(lexicon.select("word", F.col("n").alias("_n")), "word", "left").join(lexicon.select(F.col("word").alias("target"), F.col("n").alias("_t")), "target", "left")
+    gap = F.round(F.abs(F.log10(F.coalesce("_n", F.lit(0)) + 1) - F.log10(F.coalesce("_t", F.lit(0)) + 1)), 9)
+    t, w = F.col("target"), F.col("word")
+    stem = (t == w) | (F.length(t) > 5) & (F.left(t, F.lit(5)) == F.left(w, F.lit(5)))
+    reason = F.when(~w.rlike(r"^\p{L}+$"), "not_letters").when(stem, "same_stem").when(shares_run(t, w, 3), "overlaps_target").when(F.col("_n").isNull(), "not_attested").when(gap > band, "frequency_band").otherwise("kept")
+    return x.select("target", "word", gap.alias("gap"), reason.alias("reason"))
+
+
+def substitutes(judged: DataFrame) -> DataFrame:
+    """(target, substitute, gap): the kept word nearest in frequency, ties by the alphabet."""
+    best = judged.where("reason = 'kept'").groupBy("target").agg(F.min(F.struct("gap", "word")).alias("b"))
+    return best.select("target", F.col("b.word").alias("substitute"), "b.gap")
+
+
+def nearest_by_frequency(words: DataFrame, counts: DataFrame, band: int = 150) -> DataFrame:
+    """(word, substitute, gap): for each word the one of the same length nearest to it in log10 frequency, in hundredths
+    and within the band, ties by the alphabet; a substitute begins with other three letters than the word.
 
-    Candidates are looked up by (length, rounded frequency) and its neighbouring steps, not by all pairs, and only the
-    two nearest of each step, by the order of frequency, can win."""
-    level = F.log10(F.col("n") + 1)
-    c = counts.select(F.col("word").alias("cand"), F.length("word").alias("len"), level.alias("cl"))
-    steps = c.groupBy("len", F.round("cl", 2).alias("step")).agg(F.min("cand").alias("cand"))
-    w = words.join(counts, "word").select("word", F.length("word").alias("len"), level.alias("wl"))
-    near = w.join(steps, "len").where((F.abs(F.col("step") - F.col("wl")) <= band) & (F.left("cand", F.lit(3)) != F.left("word", F.lit(3))))
-    best = near.groupBy("word").agg(F.min(F.struct(F.round(F.abs(F.col("step") - F.col("wl")), 6).alias("gap"), "cand")).alias("b"))
-    return best.select("word", F.col("b.cand").alias("substitute"), F.col("b.gap").alias("gap"))
+    Each step of frequency keeps its first word and the first that begins otherwise, so that one of the two serves any
+    word; words of the same length, step and beginning are looked up once, over at most 2 x band + 1 steps."""
+    level = F.round(F.log10(F.col("n") + 1) * 100).cast("int")
+    c = counts.select(F.col("word").alias("cand"), F.length("word").alias("len"), level.alias("step"))
+    firsts = c.groupBy("len", "step", F.left("cand", F.lit(3)).alias("head")).agg(F.min("cand").alias("cand"))
+    steps = firsts.groupBy("len", "step").agg(F.slice(F.array_sort(F.collect_list("cand")), 1, 2).alias("cands"))
+    w = words.join(counts, "word").select("word", F.length("word").alias("len"), level.alias("level"), F.left("word", F.lit(3)).alias("head"))
+    cand = F.get(F.filter("cands", lambda v: F.left(v, F.lit(3)) != F.col("head")), F.lit(0))
+    near = w.select("len", "level", "head").distinct().join(steps, "len").where(F.abs(F.col("step") - F.col("level")) <= band)
+    near = near.select("len", "level", "head", F.abs(F.col("step") - F.col("level")).alias("gap"), cand.alias("cand")).where("cand is not null")
+    best = near.groupBy("len", "level", "head").agg(F.min(F.struct("gap", "cand")).alias("b"))
+    return w.join(best, ["len", "level", "head"]).select("word", F.col("b.cand").alias("substitute"), F.col("b.gap").alias("gap"))

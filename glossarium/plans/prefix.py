@@ -46,7 +46,7 @@ def numbered(df: DataFrame, group: list[str], order: list[str], bucket: Column,
     for g, k in zip(group, keys):
         same = same & F.col(g).eqNullSafe(F.col(k))
     place = F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(*order))
-    return rows.withColumn("_place", place).join(counts, same).withColumn(out, F.col("_earlier") + F.col("_place")).drop("_bucket", "_b", "_earlier", "_place", *keys)
+    return rows.withColumn("_inside", place).join(counts, same).withColumn(out, F.col("_earlier") + F.col("_inside")).drop("_bucket", "_b", "_earlier", "_inside", *keys)
 
 
 def hashed_order(*columns: str, seed: int = 0) -> Column:
