@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from glossarium.functions import stats
 from glossarium.functions.text import letter_tokens, norm
 from glossarium.operators import forms, neighborhood, perturbation, predictions, sampling
-from glossarium.queries import _BINS, _DRAW, _GROUPS, _HIT, _LAST, _LABELLED, _LEX, _P, _PAIRED, _PAIRS, _edits, _labelled, _last_labels, _lexicon, _prompts, query  # noqa: F401
+from glossarium.queries import _BINS, _DRAW, _GROUPS, _HIT, _LAST, _LABELLED, _LEX, _P, _PAIRS, _edits, _labelled, _last_labels, _lexicon, _prompts, query
 from glossarium.sources.session import spread, table
 
 # ---------------------------------------------------------------- shared blocks
@@ -38,9 +38,9 @@ _INFLECTS = "(x.w <> y.w AND (CASE WHEN length(x.w) <= length(y.w) THEN y.w ELSE
  s AS (SELECT id, gram, k, round(-log2(greatest(CASE WHEN r >= 1 THEN 1.0 ELSE list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)) * pow(r, i) * pow(1 - r, n - i) for i in range(k, n + 1)]) END, 1e-300)), 6) AS bits FROM f)
  SELECT id, gram, CAST(k AS INT) AS n_carriers, round(bits, 4) AS surprisal FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k DESC, bits DESC, gram) AS rn FROM s WHERE bits >= {forms.MIN_BITS}) WHERE rn = 1""")
 def q54_form_blocks(spark: SparkSession, d: str) -> DataFrame:
-    words = predictions.predictions(spark, d).select(F.explode_outer("words").alias("word")).where("word is not null").distinct()
-    n = words.select(norm(F.col("word")).alias("w")).where(F.col("w").rlike(r"^\p{L}{4,}$")).distinct().count()
-    rates = neighborhood.edge_ngrams(words).select("gram", "n_words")
+    words = predictions.predictions(spark, d).select(F.explode_outer("words").alias("word")).where("word is not null")
+    n = neighborhood.letter_words(words).count()
+    rates = neighborhood.edge_ngrams(words, n=n).select("gram", "n_words")
     return forms.form_blocks(_lists(spark, d), rates, n).withColumn("surprisal", F.round("surprisal", 4))
 
 
@@ -67,6 +67,7 @@ def q56_segments(spark: SparkSession, d: str) -> DataFrame:
 def q57_certified_groups(spark: SparkSession, d: str) -> DataFrame:
     """Groups of one form with a member that hardly any document knows, by the size of the group."""
     g = neighborhood.form_groups(_lists(spark, d))
+    # an outer explode: Spark copies the whole group expression into the filter it derives from an inner one
     m = g.select("id", "form_n", F.explode_outer(F.split("members", r"\|")).alias("word")).where("word <> ''").join(_lexicon(spark, d), "word", "left")
     c = m.groupBy("id", "form_n").agg(F.count_if(F.coalesce("n_docs", F.lit(0)) < 3).alias("n_new"))
     return c.groupBy("form_n").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_new") > 0).alias("n_certified"), F.sum("n_new").alias("n_new_words"))

@@ -96,12 +96,17 @@ def form_groups(lists: DataFrame) -> DataFrame:
     return x.select("id", F.when(lexemes, F.size("members")).otherwise(0).alias("form_n"), F.when(lexemes, F.array_join("members", "|")).otherwise("").alias("members"))
 
 
-def edge_ngrams(words: DataFrame, shortest: int = 2, longest: int = 7) -> DataFrame:
+def letter_words(words: DataFrame) -> DataFrame:
+    """(w): the distinct words of letters, at least four of them."""
+    return words.select(norm(F.col("word")).alias("w")).where(F.col("w").rlike(r"^\p{L}{4,}$")).distinct()
+
+
+def edge_ngrams(words: DataFrame, shortest: int = 2, longest: int = 7, n: int | None = None) -> DataFrame:
     """(gram, n_words, surprisal): in how many distinct words each ending ('$') and beginning ('^') of 2 to 7 letters
     occurs, and -log2 of its share.  Words of letters with at least four of them count; a word must be two letters
-    longer than the part."""
-    w = words.select(norm(F.col("word")).alias("w")).where(F.col("w").rlike(r"^\p{L}{4,}$")).distinct()
-    n = w.count()
+    longer than the part.  n: the number of such words, counted here if it isn't known."""
+    w = letter_words(words)
+    n = w.count() if n is None else n
     parts = w.withColumn("k", F.explode(F.sequence(F.lit(shortest), F.lit(longest)))).where(F.length("w") > F.col("k") + 1)
     grams = parts.select(F.explode(F.array(F.concat(F.lit("^"), F.left("w", "k")), F.concat(F.right("w", "k"), F.lit("$")))).alias("gram"))
     g = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n_words"))
