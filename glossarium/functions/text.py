@@ -17,11 +17,6 @@ def lenient_int(value: Column) -> Column:
     return F.when(~F.isnan(number), F.floor(number).try_cast("int"))
 
 
-def piped(value: Column) -> Column:
-    """ARRAY<STRING> of the non-empty values between bars; empty for null."""
-    return F.filter(F.split(F.coalesce(value, F.lit("")), r"\|"), lambda v: v != "")
-
-
 def prefix_before(text: Column, target: Column) -> Column:
     """The text before the last occurrence of the target, in any case and also inside a word, without blanks at its end;
     the whole text, if the target doesn't occur or is empty.  Null only for a null text."""

@@ -57,16 +57,23 @@ def _folded(pieces: Column) -> Column:
     return F.when(last == 0, F.regexp_replace(F.get(pieces, F.lit(0)), _DELIMITER, _CUT)).otherwise(F.array_join(F.transform(pieces, piece), ""))
 
 
+def with_slots(df: DataFrame, field: str) -> DataFrame:
+    """df with `slots` ARRAY<STRING> of a packed text field, an empty slot as an empty text, null for a null field; see
+    unpack_values()."""
+    text, quoted = F.col("_text"), F.col("_quoted")
+    rows = df.withColumn("_text", canonical_form(F.col(field)))
+    rows = rows.withColumn("_text", _strip(text)).withColumn("_text", _without_wrapper(text))
+    rows = rows.withColumn("_text", F.replace(text, F.lit('\\"'), F.lit('""'))).withColumn("_quoted", _in_double_quotes(text))
+    rows = rows.withColumn("_pieces", F.when(_balanced(quoted), F.split(quoted, '"')).when(_balanced(text), F.split(text, '"')).otherwise(F.array(text)))
+    plain = F.regexp_replace(F.regexp_replace(_folded(F.col("_pieces")), _NUMBERING, "$1"), _ENCLOSED, "$1$2$3$4$5$6")
+    slots = F.split(F.lower(F.regexp_replace(plain, rf"\s*{_CUT}\s*", _CUT)), _CUT)
+    return rows.withColumn("slots", F.transform(slots, lambda v: F.trim(v))).drop("_text", "_quoted", "_pieces")
+
+
 def packed_lists(df: DataFrame, key: str, field: str) -> DataFrame:
     """(key, slots ARRAY<STRING>) of a packed text field, an empty slot as an empty text; see unpack_values()."""
-    text = F.col("text")
-    rows = df.select(df[key].alias("key"), df[field].alias("text")).where("text is not null").withColumn("text", canonical_form(text))
-    rows = rows.withColumn("text", _strip(text)).withColumn("text", _without_wrapper(text))
-    rows = rows.withColumn("text", F.replace(text, F.lit('\\"'), F.lit('""'))).withColumn("quoted", _in_double_quotes(text))
-    rows = rows.withColumn("pieces", F.when(_balanced(F.col("quoted")), F.split("quoted", '"')).when(_balanced(text), F.split(text, '"')).otherwise(F.array(text)))
-    plain = F.regexp_replace(F.regexp_replace(_folded(F.col("pieces")), _NUMBERING, "$1"), _ENCLOSED, "$1$2$3$4$5$6")
-    slots = F.split(F.lower(F.regexp_replace(plain, rf"\s*{_CUT}\s*", _CUT)), _CUT)
-    return rows.select(F.col("key").alias(key), F.transform(slots, lambda v: F.trim(v)).alias("slots"))
+    rows = df.select(df[key].alias("key"), df[field].alias("text")).where("text is not null")
+    return with_slots(rows, "text").select(F.col("key").alias(key), "slots")
 
 
 def unpack_values(df: DataFrame, key: str, field: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glossarium.functions.text import item_key, lenient_int, norm, piped, prefix_before
+from glossarium.functions.text import item_key, lenient_int, norm, prefix_before
+from glossarium.operators.packed import with_slots
 from glossarium.sources.session import table
 
 KS = (10, 20, 50, 100)
@@ -17,9 +18,11 @@ def hit(rank: Column, k: int) -> Column:
 
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
-    """One row per decoded item: is_future is 1 if the year lies beyond the model's cutoff, 0 also for undated items."""
+    """One row per decoded item: is_future is 1 if the year lies beyond the model's cutoff, 0 also for undated items;
+    words are the values of top_10_words however the list is written, without empty slots."""
     p, m = table(spark, d, "postcutoff_words"), table(spark, d, "models").select("model", "cutoff_year")
-    rows = p.join(m, "model").select("row_id", "model", "item_id", "text", "target_word", "year", lenient_int(F.col("entry_start_year")).alias("entry_year"), "rank", piped(F.col("top_10_words")).alias("words"), "cutoff_year")
+    words = F.coalesce(F.filter("slots", lambda v: v != ""), F.array().cast("array<string>"))
+    rows = with_slots(p, "top_10_words").join(m, "model").select("row_id", "model", "item_id", "text", "target_word", "year", lenient_int(F.col("entry_start_year")).alias("entry_year"), "rank", words.alias("words"), "cutoff_year")
     return rows.withColumn("is_future", F.coalesce(F.col("year") > F.col("cutoff_year"), F.lit(False)).cast("int"))
 
 

@@ -1,5 +1,6 @@
 import pytest
 
+from glossarium.operators import predictions
 from glossarium.operators.packed import unpack_values
 
 CASES = [
@@ -46,3 +47,15 @@ def test_empty_table_repeats_and_long_field(spark):
     long = "|".join(f"v{i}" for i in range(50_000))
     rows = unpack_values(spark.createDataFrame([(1, "a|b"), (1, "a|b"), (2, long)], "k int, t string"), "k", "t")
     assert rows.where("k = 1").count() == 4 and rows.where("k = 2").agg({"pos": "max"}).first()[0] == 50_000
+
+
+def test_predictions_read_every_list_writing(spark, tmp_path):
+    cols = "row_id long, model string, item_id string, text string, target_word string, year int, entry_start_year string, rank int, top_10_words string"
+    rows = [(i, "m", f"e{i}", "text", "b", 1950, None, 1, t) for i, (t, _) in enumerate(CASES)]
+    spark.createDataFrame(rows, cols).write.parquet(f"{tmp_path}/postcutoff_words.parquet")
+    spark.createDataFrame([("m", 1930)], "model string, cutoff_year int").write.parquet(f"{tmp_path}/models.parquet")
+    p = predictions.predictions(spark, str(tmp_path))
+    assert {r.row_id: r.words for r in p.collect()} == {i: [v for _, v in values] for i, (_, values) in enumerate(CASES)}
+    values = [[v for _, v in values] for _, values in CASES]
+    want = {i: v.index("b") + 1 if "b" in v else -1 for i, v in enumerate(values)}
+    assert {r.row_id: r.list_rank for r in predictions.prediction_details(p).collect()} == want
