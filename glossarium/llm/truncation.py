@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ORDERS = (2, 3, 4, 6)
+# Lengths of contexts: first over all forms of writing, then inside the form.
+PLAIN_ORDERS, ORDERS = (1, 2), (1, 2, 3, 4, 6)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _BUFFER = 4_000_000
 # What loggers and broken transfers leave at a cut.
@@ -80,10 +81,10 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             first, last = place, np.repeat(lengths, lengths) - 1 - place
             for side, column in (("end", "front"), ("start", "back")):
                 salt = np.repeat(_codes(part[column], side), lengths)
-                for k in ORDERS:
+                for k, form in [*((k, _salt(side)) for k in PLAIN_ORDERS), *((k, salt) for k in ORDERS)]:
                     ok = inside[k]
                     edge = (last if side == "end" else first - (k - 1))[ok] == 0
-                    key, at = np.unique((keys[k] ^ salt)[ok], return_inverse=True)
+                    key, at = np.unique((keys[k] ^ form)[ok], return_inverse=True)
                     held.append((key, np.bincount(at, minlength=len(key)).astype(float), np.bincount(at, edge, len(key))))
             if sum(len(h[0]) for h in held) > _BUFFER:
                 held = [merged()]
@@ -94,38 +95,46 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(id, side, keys): of each text the contexts, by order, at its end and at its start."""
+    """(id, side, keys, own): of each text the contexts, by order, at its end and at its start, and how often the text
+    itself has each."""
     for batch in batches:
         keys, inside, place, lengths, ends = _keys(batch)
         starts = ends - lengths
         for side, column in (("end", "front"), ("start", "back")):
             salt = _codes(batch[column], side)
-            lists = [[] for _ in range(len(batch))]
-            for k in ORDERS:
-                for i in np.flatnonzero(lengths >= k):
+            lists, own = [[] for _ in range(len(batch))], [[] for _ in range(len(batch))]
+            for k, form in [*((k, np.full(len(batch), _salt(side))) for k in PLAIN_ORDERS), *((k, salt) for k in ORDERS)]:
+                for i in np.flatnonzero(lengths >= max(k, 2)):
                     at = ends[i] - 1 if side == "end" else starts[i] + k - 1
-                    lists[i].append(int((keys[k][at] ^ salt[i]).view(np.int64)))
-            yield pd.DataFrame({"id": batch.id, "side": side, "keys": lists})
+                    lists[i].append(int((keys[k][at] ^ form[i]).view(np.int64)))
+                    own[i].append(int((keys[k][starts[i] + k - 1 : ends[i]] == keys[k][at]).sum()))
+            yield pd.DataFrame({"id": batch.id, "side": side, "keys": lists, "own": own})
 
 
 def edge_scores(df: DataFrame, key: str, text: str, salts: int = 32) -> DataFrame:
     """(id, side, score): log-odds that the text ends ('end') or starts ('start') where it does against that it goes on.
 
     Two models of character n-grams, one read backward from the end and one forward from the start, are trained on all
-    texts: for each context of 2, 3, 4 and 6 characters the number of times it is seen and that a text has its edge
-    there, separately for each form of writing.  The share of edges is interpolated from the short contexts to the long.
+    distinct texts: for each context of 1 to 6 characters the number of times it is seen and that a text has its
+    edge there, over all forms of writing for 1 and 2 characters, then for 1, 2, 3, 4 and 6 inside the form.  The share of
+    edges is interpolated from the first to the last, so that an edge not seen before in its form falls back.  A text says nothing on itself: its own counts are taken off before, and its copies count once.
     Contexts are joined once each; the scores go back to the texts by salted keys, as some context ends a third of them.
     """
     id_type = df.schema[key].dataType.simpleString()
     texts = _texts(df, key, text)
-    plain = texts.select("text", "front", "back")
+    plain = texts.select("text", "front", "back").groupBy(F.sha2("text", 256).alias("digest")).agg(*(F.first(c).alias(c) for c in ("text", "front", "back"))).drop("digest")
     model = plain.mapInPandas(_count, "key long, seen long, edge long").groupBy("key").agg(F.sum("seen").alias("seen"), F.sum("edge").alias("edge"))
-    final = texts.mapInPandas(_final, f"id {id_type}, side string, keys array<long>").withColumn("last", F.get("keys", F.size("keys") - 1))
-    contexts = final.where("last is not null").groupBy("side", "last").agg(F.first("keys").alias("keys")).select("side", "last", F.posexplode("keys").alias("k", "key"))
-    joined = contexts.join(model, "key").groupBy("side", "last").agg(F.array_sort(F.collect_list(F.struct("k", "seen", "edge"))).alias("orders"))
-    share = F.aggregate("orders", F.lit(0.02), lambda p, o: (o["edge"] + 3 * p) / (o["seen"] + 3))
-    scored = joined.select("side", "last", F.ln(share / (1 - share)).alias("score"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    return final.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(scored, ["side", "last", "salt"], "left").select("id", "side", "score")
+    final = texts.mapInPandas(_final, f"id {id_type}, side string, keys array<long>, own array<long>").withColumn("last", F.get("keys", F.size("keys") - 1)).withColumn("owns", F.array_join("own", ","))
+    pairs = F.arrays_zip("keys", "own")
+    contexts = final.where("last is not null").groupBy("side", "last", "owns").agg(F.first(pairs).alias("pairs")).select("side", "last", "owns", F.posexplode("pairs").alias("k", "pair"))
+    contexts = contexts.select("side", "last", "owns", "k", F.col("pair.keys").alias("key"), F.col("pair.own").alias("own"))
+    others = F.struct("k", (F.col("seen") - F.col("own")).alias("seen"), (F.col("edge") - 1).alias("edge"))
+    joined = contexts.join(model, "key").groupBy("side", "last", "owns").agg(F.array_sort(F.collect_list(others)).alias("orders"))
+    # both shares, as that of the texts that go on vanishes beside 1 where all end
+    step = lambda s, o: F.struct(((o["edge"] + 3 * s["ends"]) / (o["seen"] + 3)).alias("ends"), ((o["seen"] - o["edge"] + 3 * s["goes"]) / (o["seen"] + 3)).alias("goes"))
+    share = F.aggregate("orders", F.struct(F.lit(0.02).alias("ends"), F.lit(0.98).alias("goes")), step)
+    scored = joined.select("side", "last", "owns", (F.ln(share["ends"]) - F.ln(share["goes"])).alias("score"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    return final.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(scored, ["side", "last", "owns", "salt"], "left").select("id", "side", "score")
 
 
 def truncated_texts(df: DataFrame, key: str, text: str, threshold: float = -0.5) -> DataFrame:

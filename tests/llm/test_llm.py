@@ -81,6 +81,15 @@ def test_truncated_texts(spark):
     assert truncation.truncated_texts(df.limit(0), "id", "text").count() == 0
 
 
+def test_a_cut_text_says_nothing_on_its_own_end(spark):
+    random.seed(5)
+    whole = [f'{{"form":"{random.choice("abcdefg") * 3}","why":"The stem of {random.choice(["one", "two", "all"])} is {random.choice(["long", "short"])}."}}' for _ in range(200)]
+    twice, rare = '{"form":"aaa","why":"The stem of qzx', '```json\n{"form":"bbb","why":"The stem of vkj'
+    df = spark.createDataFrame(list(enumerate([*whole, *[twice] * 2, rare])), "id int, text string")
+    lost = {r.id for r in truncation.truncated_texts(df, "id", "text").collect() if r.lost_end}
+    assert lost == {200, 201, 202}
+
+
 def test_lookalike_fields(spark):
     df = spark.createDataFrame([(1, "plain", "ａ|b", "k"), (2, None, "", "k"), (2, "o​ne", "c", "k")], "row_id int, text string, tops string, key string")
     got = {(r.row_id, r.field, r.consistent) for r in lookalike.lookalike_fields(df, "row_id", ["text", "tops"]).collect()}
