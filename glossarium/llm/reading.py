@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossarium.functions.canonical import canonical_text
@@ -58,12 +58,33 @@ def _parsed(text: str, boilerplate: frozenset[str]) -> tuple[list[list[str]], in
     return out, dropped
 
 
-def repeated_lines(texts: DataFrame, n_docs: int, above: float = 0.004, least: int = 20) -> DataFrame:
-    """(line): lines, digits and numbering apart, that more than `above` of all documents, and at least `least`, have:
-    boilerplate.  Their number is bounded by the mean number of lines per document divided by `above`."""
-    plain = F.regexp_replace("text", r"(?m)^[\s0-9.()\-]+|[0-9]+", "")
-    lines = texts.select(F.explode_outer(F.array_distinct(F.split(plain, r"\s*\n\s*"))).alias("line")).where("line <> ''")
-    return lines.withColumn("line", F.trim("line")).groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(least, above * n_docs)).select("line")
+def _lines(plain: Column) -> Column:
+    """ARRAY<STRING>: the distinct lines of a text, without blanks around them and empty ones."""
+    return F.filter(F.array_distinct(F.transform(F.split(plain, r"\s*\n\s*"), lambda v: F.trim(v))), lambda v: v != "")
+
+
+def repeated_lines(texts: DataFrame, above: float = 0.004) -> DataFrame:
+    """(line): lines, digits and numbering apart, that more than `above` of the distinct texts, and at least two, have:
+    boilerplate.  Texts that differ in digits only are one.  Their number is bounded by the mean number of lines per text
+    divided by `above`.
+
+    A text of which such lines make up more than half is a copy of others with a line or two changed; it says nothing on
+    what is boilerplate, and the lines are counted again without these texts."""
+    rows = texts.select("doc", F.regexp_replace("text", r"(?m)^[\s0-9.()\-]+|[0-9]+", "").alias("plain"))
+    rows = rows.select("doc", F.xxhash64("plain").alias("key"), _lines(F.col("plain")).alias("lines"))
+    rows = rows.select("doc", "key", F.transform("lines", lambda v: F.struct(F.xxhash64(v).alias("id"), F.length(v).alias("chars"))).alias("ids"))
+    once = materialized(rows).groupBy("key").agg(F.min_by(F.struct("doc", "ids"), "doc").alias("x")).select("key", "x.*")
+    least = max(1.0, above * once.count())
+    each = once.select("doc", "key", F.aggregate("ids", F.lit(0), lambda n, x: n + x["chars"]).alias("whole"), F.explode_outer("ids").alias("x")).select("doc", "key", "whole", "x.*")
+    often = each.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select("id")
+    held = each.join(F.broadcast(often), "id").groupBy("key", "whole", "doc").agg(F.sum("chars").alias("chars"), F.collect_list("id").alias("ids"))
+    apart = held.where("2 * chars <= whole").select("doc", F.explode("ids").alias("id"))
+    found = apart.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc")).where(F.col("n") > least)
+    found = materialized(found.select("id", "doc"))
+    # one text that has each line, to read it from
+    read = texts.join(F.broadcast(found.select("doc").distinct()), "doc", "left_semi").select(F.regexp_replace("text", r"(?m)^[\s0-9.()\-]+|[0-9]+", "").alias("plain"))
+    line = read.select(F.explode_outer(_lines(F.col("plain"))).alias("line")).where("line is not null")
+    return line.withColumn("id", F.xxhash64("line")).join(F.broadcast(found.select("id")), "id", "left_semi").select("line").distinct()
 
 
 def familiar_words(texts: DataFrame, ratings: DataFrame, top_level: float = 3.0, share: float = 0.01, most: int = 3000) -> DataFrame:
@@ -144,7 +165,7 @@ def reading_levels(docs: DataFrame, key: str, text: str, lang: str, ratings: Dat
     rows = docs.where(F.lower(docs[lang]).startswith(language))
     texts = spread(rows.select(rows[key].alias("doc"), rows[text].alias("text")).where("doc is not null and text is not null"))
     mean = ratings.select("doc", "level").dropna().groupBy("doc").agg(F.avg("level").alias("level"))
-    boilerplate = {r.line for r in repeated_lines(texts, texts.count()).collect()}
+    boilerplate = {r.line for r in repeated_lines(texts).collect()}
     familiar = {r.word for r in familiar_words(texts, mean, top_level).collect()}
     features = materialized(reading_features(texts, familiar, boilerplate))
     score = sum((F.lit(w) * t for w, t in zip(fitted_weights(features, mean), _terms())), F.lit(0.0))

@@ -180,6 +180,26 @@ def test_sentences():
     assert reading.sentences("") == [] and reading.sentences("Menu 3\nA cat sat.", frozenset({"Menu"})) == [["a", "cat", "sat"]]
 
 
+def test_boilerplate_is_the_same_share_at_every_size(spark):
+    rng = random.Random(2)
+    line = lambda: " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(6))
+    body = lambda: [line() for _ in range(8)]
+    for n in (60, 1200):
+        texts = ["\n".join([*body(), *(["Skip to content 3"] if i % 20 == 0 else [])]) for i in range(n)]
+        got = reading.repeated_lines(spark.createDataFrame(list(enumerate(texts)), "doc int, text string")).collect()
+        assert [r.line for r in got] == ["Skip to content"]
+
+
+def test_copies_with_a_differing_line_keep_their_body(spark):
+    rng = random.Random(3)
+    line = lambda: " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(6))
+    hot, exact = [line() for _ in range(8)], [line() for _ in range(8)]
+    texts = [[line() for _ in range(8)] + ["Skip to content"] * (i % 10 == 0) for i in range(600)]
+    texts += [[*hot[:4], line(), *hot[4:]] for _ in range(60)] + [exact] * 60 + [[*exact[:7], line()]]
+    df = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc int, text string")
+    assert [r.line for r in reading.repeated_lines(df).collect()] == ["Skip to content"]
+
+
 def test_reading_levels(spark):
     rng = random.Random(1)
     easy, hard = [f"cat{i}" for i in range(30)], [f"isomorphic{i}" for i in range(2000)]
