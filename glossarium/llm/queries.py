@@ -10,23 +10,29 @@ from glossarium.operators.packed import packed_lists
 from glossarium.sources.session import spread, table
 
 RARE_BELOW, COMMON_ABOVE = 3, 0.03
+# Each term of a suffix is a column: longer lists are refused, not cut.
+MOST_TERMS = 100
 
 
-def _frequencies(spark: SparkSession, d: str, max_n: int) -> DataFrame:
+def _frequencies(spark: SparkSession, d: str) -> DataFrame:
+    """All n-grams of the lists, whole lists too: n goes as far as the longest list."""
     words = spread(table(spark, d, "postcutoff_words"))
     lists = packed_lists(words, "row_id", "top_10_words").select(F.lit("top_10_words").alias("field"), F.filter("slots", lambda v: v != "").alias("terms"))
-    target = F.lower(F.regexp_replace("target_word", r"^[\s ]+|[\s ]+$", ""))
+    longest = lists.agg(F.max(F.size("terms"))).first()[0] or 1
+    if longest > MOST_TERMS:
+        raise ValueError(f"a list has {longest} terms, more than {MOST_TERMS}")
+    target = F.lower(F.regexp_replace("target_word", r"^[\s ]+|[\s ]+$", ""))
     targets = words.select(F.lit("target_word").alias("field"), F.array(target).alias("terms")).where(target != "")
-    counts = frequency.ngram_frequencies(lists.unionByName(targets), max_n)
+    counts = frequency.ngram_frequencies(lists.unionByName(targets), max(longest, 1))
     return frequency.mark_frequencies(counts, words.count(), RARE_BELOW, COMMON_ABOVE)
 
 
 def p1_frequencies(spark: SparkSession, d: str) -> DataFrame:
-    return _frequencies(spark, d, 3).select("field", F.array_join("gram", " | ").alias("term"), "n", "occurrences", "records", "mark")
+    return _frequencies(spark, d).select("field", F.array_join("gram", " | ").alias("term"), "n", "occurrences", "records", "mark")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return _frequencies(spark, d, 2).where("n = 1 and mark is not null").select("field", F.get("gram", F.lit(0)).alias("term"), "mark")
+    return _frequencies(spark, d).where("n = 1 and mark is not null").select("field", F.get("gram", F.lit(0)).alias("term"), "mark")
 
 
 def _supply(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

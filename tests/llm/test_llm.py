@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glossarium.llm import frequency, leakage, lookalike, mixing, reading, sampling, truncation
+from glossarium.llm import frequency, leakage, lookalike, mixing, queries, reading, sampling, truncation
 
 
 @pytest.mark.parametrize("n", [1, 2, 3])
@@ -25,6 +25,15 @@ def test_ngram_frequencies_against_brute_force(spark, n):
     assert got == {g: (occ[g], rec[g], len(g[1])) for g in occ}
 
 
+def test_frequencies_hold_whole_lists(spark, tmp_path):
+    words = [f"w{i}" for i in range(10)]
+    rows = [(1, "w0", "|".join(words)), (2, "w0", ", ".join(words)), (3, None, "w0|w1")]
+    spark.createDataFrame(rows, "row_id long, target_word string, top_10_words string").write.parquet(f"{tmp_path}/postcutoff_words.parquet")
+    got = {(r.field, r.term): (r.n, r.occurrences, r.records) for r in queries.p1_frequencies(spark, str(tmp_path)).collect()}
+    want = {("top_10_words", " | ".join(words[i:j])): (j - i, 2, 2) for i in range(10) for j in range(i + 1, 11)} | {("target_word", "w0"): (1, 2, 2)}
+    assert got == want | {("top_10_words", t): (n, 3, 3) for t, n in (("w0", 1), ("w1", 1), ("w0 | w1", 2))}
+
+
 def test_ngram_marks_and_empty(spark):
     empty = frequency.ngram_frequencies(spark.createDataFrame([], "field string, terms array<string>"))
     assert empty.count() == 0
