@@ -4,24 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossarium.functions.canonical import canonical_form
+from glossarium.functions.spelling import parts_key, plain_key
 from glossarium.plans.prefix import hashed_order, running_totals
 
 
-def plain_key(text: Column) -> Column:
-    """A spelling key: consistent characters, lower case, letters and digits only."""
-    return F.regexp_replace(F.lower(canonical_form(text)), r"[^\p{L}\p{N}]+", "")
-
-
-def parts_key(text: Column) -> Column:
-    """A spelling key for names made of parts: the parts in lower case, sorted, joined with '+'."""
-    parts = F.filter(F.split(F.lower(canonical_form(text)), r"[^\p{L}\p{N}]+"), lambda p: p != "")
-    return F.when(text.isNotNull(), F.array_join(F.array_sort(parts), "+"))
-
-
 def repaired_counts(available: np.ndarray, floors: np.ndarray, wanted: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     """How many records of each signature the sample has.
 

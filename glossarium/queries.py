@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossarium.functions import stats
+from glossarium.functions.spelling import named, plain_key
 from glossarium.functions.text import letter_tokens, norm, prefix_before
 from glossarium.operators import decoding, neighborhood, perturbation, predictions, records, sampling, scaffold
 from glossarium.operators.packed import unpack_values
@@ -298,8 +299,13 @@ def _cells(x: DataFrame, *by: str) -> DataFrame:
     return x.groupBy(*by).agg(one(cue & out).alias("a"), one(~cue & out).alias("b"), one(cue & ~out).alias("c"), one(~cue & ~out).alias("d"))
 
 
+def _decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of neighborhood_key of the three decoded models, however these are spelled."""
+    return spread(table(spark, d, "neighborhood_key")).withColumn("model", named(F.col("model"), scaffold.MODELS)).where(F.col("model").isin(*scaffold.MODELS))
+
+
 def _cues(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "neighborhood_key").where("model in ('talkie-base', 'talkie-web', 'typewriter') and is_future is not null and route is not null")
+    x = _decoded(spark, d).where("is_future is not null and route is not null")
     return x.select("model", "is_future", (F.col("route") != "none").alias("cue"), (predictions.hit(F.col("rank"), 100) == 1).alias("outcome"))
 
 
@@ -507,7 +513,8 @@ def q40_verification_mart(spark: SparkSession, d: str) -> DataFrame:
     first = lambda c: F.min_by(c, "key_no").alias(c)
     k = table(spark, d, "neighborhood_key").where("id is not null").groupBy("id").agg(F.min("key_no").alias("key_no"), first("model"), first("route"), first("rank"))
     f = table(spark, d, "judge_failures").groupBy(F.col("nbr_id").alias("id")).agg(F.count(F.lit(1)).alias("n_failures"))
-    x = k.join(table(spark, d, "models").select("model", "family"), "model", "left").join(_last_labels(spark, d), "id", "left").join(f, "id", "left")
+    families = table(spark, d, "models").select(plain_key(F.col("model")).alias("model_key"), "family")
+    x = k.withColumn("model_key", plain_key(F.col("model"))).join(families, "model_key", "left").join(_last_labels(spark, d), "id", "left").join(f, "id", "left")
     formed = F.coalesce((F.col("form") >= 2) & F.col("rank").between(1, 100), F.lit(False)).cast("int")
     return x.select("id", "key_no", F.coalesce("family", F.lit("unknown")).alias("family"), "route", "rank", "form", "meaning", F.coalesce("n_failures", F.lit(0).cast("long")).alias("n_failures"), formed.alias("formed_hit"))
 
@@ -560,7 +567,7 @@ def q45_allocation_variance(spark: SparkSession, d: str) -> DataFrame:
     """Delta-method variance of the log rates of three routes, for the sample as it is and for one of equal parts."""
     from pyspark.sql import Window
 
-    x = table(spark, d, "neighborhood_key").where("model in ('talkie-base', 'talkie-web', 'typewriter')").groupBy("model", "route").agg(F.count(F.lit(1)).alias("n"), F.sum(predictions.hit(F.col("rank"), 100)).alias("k"))
+    x = _decoded(spark, d).groupBy("model", "route").agg(F.count(F.lit(1)).alias("n"), F.sum(predictions.hit(F.col("rank"), 100)).alias("k"))
     x = x.withColumn("even", F.sum("n").over(Window.partitionBy("model")) / 3).withColumn("p", F.col("k") / F.col("n"))
     var = lambda n: F.sum(F.when((F.col("k") > 0) & (F.col("k") < F.col("n")), (1 - F.col("p")) / (F.col(n) * F.col("p"))).otherwise(F.lit(float("inf"))))
     return x.groupBy("model").agg(F.round(var("n"), 9).alias("variance"), F.round(var("even"), 9).alias("variance_even"))
