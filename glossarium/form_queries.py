@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from glossarium.functions import stats
 from glossarium.functions.text import letter_tokens, norm
 from glossarium.operators import forms, neighborhood, perturbation, predictions, sampling
-from glossarium.queries import _BINS, _DRAW, _GROUPS, _HIT, _LAST, _LABELLED, _LEX, _P, _PAIRS, _edits, _labelled, _last_labels, _lexicon, _prompts, query
+from glossarium.queries import _BINS, _DRAW, _GROUPS, _HIT, _LAST, _LABELLED, _LEX, _NEAREST, _P, _PAIRED, _PAIRS, _edits, _labelled, _last_labels, _lexicon, _prompts, query
 from glossarium.sources.session import spread, table
 
 # ---------------------------------------------------------------- shared blocks
@@ -127,8 +127,7 @@ def q62_substitutes(spark: SparkSession, d: str) -> DataFrame:
     return perturbation.substitutes(_judged(spark, d))
 
 
-@query(f"""WITH {_P}, {_LEX}, c AS (SELECT word, length(word) AS len, CAST(round(log10(n_docs + 1) * 100) AS INT) AS step, left(word, 3) AS head FROM lex),
- tg AS (SELECT DISTINCT c.* FROM c JOIN p ON p.target = c.word) SELECT word, substitute, CAST(gap AS INT) AS gap FROM (SELECT tg.word, c.word AS substitute, abs(c.step - tg.step) AS gap, row_number() OVER (PARTITION BY tg.word ORDER BY abs(c.step - tg.step), c.word) AS rn FROM tg JOIN c ON tg.len = c.len AND tg.head <> c.head AND abs(c.step - tg.step) <= 150) WHERE rn = 1""")
+@query(f"WITH {_P}, {_LEX}, wanted AS (SELECT DISTINCT target AS word FROM p WHERE target <> ''), {_NEAREST} SELECT word, substitute, gap FROM nf")
 def q63_nearest_in_frequency(spark: SparkSession, d: str) -> DataFrame:
     """For each target that the documents know, the unlike word of its length nearest to it in frequency: a placebo."""
     words = predictions.predictions(spark, d).select(norm(F.col("target_word")).alias("word")).where("word <> ''").distinct()
@@ -208,11 +207,18 @@ def q71_bin_sides(spark: SparkSession, d: str) -> DataFrame:
     return x.select("model", "year_bin", side.alias("side"), "n")
 
 
-@query()
+_TAIL = "list_sum([exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) + i * ln(mid) + (m - i) * ln(1 - mid)) for i in range({0}, {1})])"
+
+
+@query(f"""WITH RECURSIVE {_PAIRED}, k AS (SELECT b, c, b + c AS m FROM bc), lo AS (SELECT b, m, 0 AS step, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high, 0.5::DOUBLE AS mid FROM k WHERE b > 0 UNION ALL
+  SELECT b, m, step + 1, CASE WHEN up THEN low ELSE mid END, CASE WHEN up THEN mid ELSE high END, CASE WHEN up THEN (low + mid) / 2 ELSE (mid + high) / 2 END FROM (SELECT *, {_TAIL.format("b", "m + 1")} > 0.025 AS up FROM lo WHERE step < 50)),
+ hi AS (SELECT b, m, 0 AS step, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high, 0.5::DOUBLE AS mid FROM k WHERE c > 0 UNION ALL
+  SELECT b, m, step + 1, CASE WHEN up THEN low ELSE mid END, CASE WHEN up THEN mid ELSE high END, CASE WHEN up THEN (low + mid) / 2 ELSE (mid + high) / 2 END FROM (SELECT *, {_TAIL.format("0", "b + 1")} < 0.025 AS up FROM hi WHERE step < 50))
+ SELECT b, c, round(coalesce((SELECT mid / (1 - mid) FROM lo WHERE step = 50), 0.0), 6) AS low, round(coalesce((SELECT mid / (1 - mid) FROM hi WHERE step = 50), 'infinity'::DOUBLE), 6) AS high FROM k""")
 def q72_paired_interval(spark: SparkSession, d: str) -> DataFrame:
     """The odds that one model alone finds an item against the other alone, with their exact interval."""
     got = lambda m: F.max(F.when(F.col("model") == m, predictions.hit(F.col("rank"), 100)))
     x = table(spark, d, "postcutoff_words").groupBy("item_id").agg(got("talkie-base").alias("x"), got("talkie-web").alias("y")).where("x is not null and y is not null")
     t = x.agg(F.count_if((F.col("x") == 1) & (F.col("y") == 0)).alias("b"), F.count_if((F.col("x") == 0) & (F.col("y") == 1)).alias("c"))
-    bound = lambda up: F.round(stats.paired_odds_bound(F.col("b"), F.col("c"), up), 9)
+    bound = lambda up: F.round(stats.paired_odds_bound(F.col("b"), F.col("c"), up), 6)
     return t.select("b", "c", bound(False).alias("low"), bound(True).alias("high"))

@@ -19,18 +19,9 @@ def parts_key(text: Column) -> Column:
     return F.when(text.isNotNull(), F.array_join(F.array_sort(parts), "+"))
 
 
-def _known(key: Column, keys: dict[str, str], otherwise: Column) -> Column:
-    found = F.lit(None).cast("string")
-    for k, name in keys.items():
-        found = F.when(key == k, name).otherwise(found)
-    return F.coalesce(found, otherwise)
-
-
-def named(text: Column, names: tuple[str, ...]) -> Column:
-    """That of the names which the text spells; any other text as it is."""
-    return _known(plain_key(text), {"".join(c for c in n.lower() if c.isalnum()): n for n in names}, text)
-
-
 def named_parts(text: Column, names: tuple[str, ...]) -> Column:
     """That of the names which has the parts of the text, in any order; any other text in upper case, without outer blanks."""
-    return _known(parts_key(text), {"+".join(sorted(n.lower().split("+"))): n for n in names}, F.upper(F.trim(text)))
+    key, found = parts_key(text), F.upper(F.trim(text))
+    for n in names:
+        found = F.when(key == "+".join(sorted(n.lower().split("+"))), n).otherwise(found)
+    return found

@@ -90,19 +90,6 @@ def paired_g_squared(b: Column, c: Column) -> Column:
     return F.when(b + c > 0, 2 * (part(b) + part(c))).otherwise(0.0)
 
 
-def exact_binomial(b: Column, c: Column) -> Column:
-    """Two-sided exact p of b against c under even chances, by a sum over the smaller tail."""
-    n, k = b + c, F.least(b, c)
-
-    def add(acc: Column, i: Column) -> Column:
-        term = F.when(i == 0, acc["term"]).otherwise(acc["term"] + F.ln((n - i + 1) / F.greatest(i, F.lit(1))))
-        return F.struct(term.alias("term"), (acc["total"] + F.exp(term)).alias("total"))
-
-    start = F.struct((-n * F.ln(F.lit(2.0))).alias("term"), F.lit(0.0).alias("total"))
-    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), k.cast("long")), start, add)["total"]
-    return F.when(n > 0, F.least(F.lit(1.0), 2 * tail)).otherwise(1.0)
-
-
 def stars(g: Column) -> Column:
     out = F.lit("")
     for least, mark in reversed(STARS):
@@ -157,3 +144,15 @@ def paired_odds_bound(b: Column, c: Column, upper: bool) -> Column:
         return pd.Series([exact_odds(int(i), int(j), upper) if i == i and j == j else None for i, j in zip(x, y)], dtype="float64")
 
     return bound(b, c)
+
+
+def exact_binomial(b: Column, c: Column) -> Column:
+    """Two-sided exact p of b against c under even chances: twice the smaller tail, 1 at most and where nothing is
+    discordant.  By the continued fraction, so that counts of any size take no more than its length; null for null."""
+
+    @F.pandas_udf("double")
+    def p(x: pd.Series, y: pd.Series) -> pd.Series:
+        tail = lambda i, j: _beta_share(max(i, j), min(i, j) + 1, 0.5) if i != j else 0.5
+        return pd.Series([min(1.0, 2 * tail(int(i), int(j))) if i == i and j == j else None for i, j in zip(x, y)], dtype="float64")
+
+    return p(b, c)

@@ -13,14 +13,19 @@ THETA, MIN_AFFIX, STEM_CHARS = 0.34, 3, 5
 MIN_RUN = 3
 
 
-def longest_suffix(word: Column) -> Column:
-    """The longest known ending that leaves at least two letters; empty if none does."""
+def longest_of(word: Column, endings: tuple[str, ...], left: int = 0) -> Column:
+    """The longest of the endings that the word has and that leaves at least `left` letters; empty if none does."""
     out = F.lit("")
-    for s in sorted(SUFFIXES, key=len):
-        out = F.when(F.endswith(word, F.lit(s)) & (F.length(word) > len(s) + 1), s).otherwise(out)
+    for s in sorted(endings, key=len):
+        out = F.when(F.endswith(word, F.lit(s)) & (F.length(word) >= len(s) + left), s).otherwise(out)
     return out
 
 
+def longest_suffix(word: Column) -> Column:
+    """The longest known ending that leaves at least two letters; empty if none does."""
+    return longest_of(word, SUFFIXES, 2)
+
+
 def neighbor_label(target: Column, word: Column, stop: Column) -> Column:
     """EMPTY, SELF, FILLER (a stop word), STEM (same first letters, or few edits), AFFIX (same ending) or DISTANT."""
     stem = (F.length(target) > STEM_CHARS) & (F.left(target, F.lit(STEM_CHARS)) == F.left(word, F.lit(STEM_CHARS))) | (edit_share(target, word) <= THETA)

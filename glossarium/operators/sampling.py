@@ -57,12 +57,15 @@ def round_robin(items: DataFrame, cell: str, key: str, n: int, seed: int = 20260
     return x.orderBy("turn", cell).limit(n).drop("_draw")
 
 
-def permuted_pairs(items: DataFrame, key: str, payload: str, shards: int = 1024, seed: int = 20260807) -> DataFrame:
-    """Each row with the payload of another row: rows are dealt to shards by their keys, and inside a shard each takes
-    the payload of the next in draw order, the last that of the first; a shard of one keeps its own."""
-    x = items.withColumn("_shard", F.pmod(F.conv(F.substring(draw_key(seed, key), 1, 6), 16, 10).cast("int"), F.lit(shards))).withColumn("_draw", draw_key(seed + 1, key))
-    w = Window.partitionBy("_shard").orderBy("_draw")
-    return x.withColumn("other", F.coalesce(F.lead(payload).over(w), F.first(payload).over(w))).drop("_shard", "_draw")
+def permuted_pairs(items: DataFrame, key: str, payload: str, seed: int = 20260808) -> DataFrame:
+    """Each row with `other`, the payload of the row that follows it in draw order; the last takes that of the first, so
+    that no row keeps its own unless it is the only one.  Rows are numbered by buckets of the draw, and each asks for its
+    follower by number; key must be unique."""
+    rows = numbered(items.withColumn("_draw", draw_key(seed, key)), [], ["_draw"], draw_bucket(F.col("_draw")), "_place").drop("_draw")
+    whole = items.agg(F.count(F.lit(1)).alias("_n"))
+    lent = rows.select(F.col("_place").alias("_next"), F.col(payload).alias("other"))
+    asked = rows.join(F.broadcast(whole)).withColumn("_next", F.pmod(F.col("_place"), F.col("_n")) + 1).drop("_place", "_n")
+    return asked.join(lent, "_next").drop("_next")
 
 
 def shuffled(words: Column, key: Column, seed: int = 20260806) -> Column:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossarium.functions.spelling import named, named_parts
+from glossarium.functions.spelling import named_parts
 from glossarium.functions.text import common_run, edit_share, letter_tokens, norm
 from glossarium.operators.predictions import hit
 
-MODELS, GRADES = ("talkie-base", "talkie-web", "typewriter"), ("STEM+AFFIX", "STEM", "AFFIX", "NONE")
+GRADES = ("STEM+AFFIX", "STEM", "AFFIX", "NONE")
 STEM_CHARS, AFFIX_CHARS, MIN_DONOR, PREFIX_CHARS = 5, 4, 4, 320
 
 
@@ -45,13 +45,10 @@ def overlap_table(rows: DataFrame) -> DataFrame:
 
 
 def recall_ladder(key: DataFrame) -> DataFrame:
-    """Number and hit rate by grade and is_future, a column per model; key: (model, grade, is_future, rank).
-    Models and grades count however they are spelled."""
-    models = MODELS
-    x = key.select(named(F.col("model"), MODELS).alias("model"), named_parts(F.col("grade"), GRADES).alias("grade"), "is_future", hit(F.col("rank"), 100).alias("hit")).where("grade is not null and is_future is not null")
-    g = x.groupBy("grade", "is_future").pivot("model", list(models)).agg(F.count("hit").alias("n"), F.avg("hit").alias("rate"))
-    out = {f"{m}_{c}": f"{c}_{m.replace('-', '_')}" for m in models for c in ("n", "rate")}
-    return g.select("grade", "is_future", *((F.coalesce(F.col(f"`{a}`"), F.lit(0)) if b.startswith("n_") else F.col(f"`{a}`")).alias(b) for a, b in out.items()))
+    """Number, hits and hit rate by model, grade (however it is spelled) and is_future; key: (model, grade, is_future,
+    rank).  Rows that lack one of the three are left out."""
+    x = key.select("model", named_parts(F.col("grade"), GRADES).alias("grade"), "is_future", hit(F.col("rank"), 100).alias("hit")).dropna()
+    return x.groupBy("model", "grade", "is_future").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"), F.avg("hit").alias("rate"))
 
 
 def moderators(key: DataFrame) -> DataFrame:

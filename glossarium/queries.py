@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossarium import sql
 from glossarium.functions import stats
-from glossarium.functions.spelling import named, plain_key
+from glossarium.functions.spelling import plain_key
 from glossarium.functions.text import letter_tokens, norm, prefix_before
 from glossarium.operators import decoding, neighborhood, perturbation, predictions, records, sampling, scaffold
 from glossarium.operators.packed import unpack_values
@@ -19,11 +20,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(oracle: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
+        if oracle:
+            ORACLES[f.__name__] = oracle
         return f
 
     return register
@@ -32,7 +33,10 @@ def query(sql: str | None = None):
 # ---------------------------------------------------------------- packed fields
 
 
-@query()
+_PACKED = (("postcutoff_words", "row_id", "top_10_words", "s1"), ("neighborhood_key", "key_no", "stem_donors", "s2"), ("neighborhood_key", "key_no", "affix_donors", "s3"))
+
+
+@query("WITH " + ", ".join(sql.slots(*x) for x in _PACKED) + " " + " UNION ALL ".join(sql.unpacked(*x) for x in _PACKED))
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     words, key = spread(table(spark, d, "postcutoff_words")), spread(table(spark, d, "neighborhood_key"))
 
@@ -44,15 +48,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- predictions
 
-_P = r"""p AS (SELECT row_id, w.model, item_id, text, target_word, year, rank, cutoff_year,
+_P = sql.slots("postcutoff_words", "row_id", "top_10_words") + r""", p AS (SELECT row_id, w.model, item_id, text, target_word, year, rank, cutoff_year,
   CAST(floor(CASE WHEN isnan(e) THEN NULL ELSE e END) AS INT) AS entry_year,
-  list_filter(string_split(coalesce(top_10_words, ''), '|'), lambda v: v <> '') AS words,
+  list_filter(coalesce(sl.slots, []), lambda v: v <> '') AS words,
   CASE WHEN year > cutoff_year THEN 1 ELSE 0 END AS is_future,
   lower(trim(coalesce(target_word, ''), ' ')) AS target,
   regexp_replace(CASE WHEN trim(coalesce(target_word, ''), ' ') <> '' AND contains(lower(text), lower(trim(target_word, ' ')))
     THEN substring(text, 1, length(lower(text)) - length(string_split(lower(text), lower(trim(target_word, ' ')))[-1]) - length(trim(target_word, ' ')))
     ELSE text END, '\s+$', '') AS prefix
-  FROM (SELECT *, TRY_CAST(nullif(trim(entry_start_year), 'None') AS DOUBLE) AS e FROM postcutoff_words) w JOIN models USING (model))"""
+  FROM (SELECT * EXCLUDE text, """ + sql.consistent("text") + """ AS text, TRY_CAST(nullif(trim(entry_start_year), 'None') AS DOUBLE) AS e FROM postcutoff_words) w JOIN models USING (model) LEFT JOIN sl ON sl.k = row_id)"""
 _HIT = "CASE WHEN rank BETWEEN 1 AND 100 THEN 1 ELSE 0 END"
 
 
@@ -271,13 +275,14 @@ def q17_attempts_and_echoes(spark: SparkSession, d: str) -> DataFrame:
     return scaffold.attempts_and_echoes(spread(_prompts(spark, d)))
 
 
-_LADDER = ", ".join(f"count(*) FILTER (model = '{m}') AS n_{m.replace('-', '_')}, round(avg(hit) FILTER (model = '{m}'), 9) AS rate_{m.replace('-', '_')}" for m in ("talkie-base", "talkie-web", "typewriter"))
+# the rows of neighborhood_key by the names of models and grades, however they are spelled
+_NAMED = f"""nk AS (SELECT k.* EXCLUDE (model, grade), m.model, CASE {sql.parts_key("k.grade")} WHEN 'affix+stem' THEN 'STEM+AFFIX' WHEN 'stem' THEN 'STEM' WHEN 'affix' THEN 'AFFIX' WHEN 'none' THEN 'NONE' ELSE upper(trim(k.grade, ' ')) END AS grade
+ FROM neighborhood_key k JOIN models m ON {sql.plain_key("k.model")} = {sql.plain_key("m.model")})"""
 
 
-@query(f"WITH x AS (SELECT model, upper(trim(grade, ' ')) AS grade, is_future, {_HIT} AS hit FROM neighborhood_key WHERE grade IS NOT NULL AND is_future IS NOT NULL) SELECT grade, is_future, {_LADDER} FROM x GROUP BY grade, is_future")
+@query(f"WITH {_NAMED} SELECT model, grade, is_future, count(*) AS n, CAST(sum({_HIT}) AS BIGINT) AS hits, round(avg({_HIT}), 9) AS rate FROM nk WHERE grade IS NOT NULL AND is_future IS NOT NULL GROUP BY ALL")
 def q18_recall_ladder(spark: SparkSession, d: str) -> DataFrame:
-    r = scaffold.recall_ladder(table(spark, d, "neighborhood_key"))
-    return r.withColumns({c: F.round(c, 9) for c in r.columns if c.startswith("rate_")})
+    return scaffold.recall_ladder(_decoded(spark, d)).withColumn("rate", F.round("rate", 9))
 
 
 @query(f"""WITH x AS (SELECT route, locality, CASE WHEN route = 'syntagmatic' THEN ending_rarity END AS rarity, {_HIT} AS hit FROM neighborhood_key)
@@ -290,7 +295,7 @@ def q19_moderators(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- association
 
 _CELLS = "count(*) FILTER (cue AND outcome) AS a, count(*) FILTER (NOT cue AND outcome) AS b, count(*) FILTER (cue AND NOT outcome) AS c, count(*) FILTER (NOT cue AND NOT outcome) AS d"
-_CUES = f"cu AS (SELECT model, is_future, route <> 'none' AS cue, {_HIT} = 1 AS outcome FROM neighborhood_key WHERE model IN ('talkie-base', 'talkie-web', 'typewriter') AND is_future IS NOT NULL AND route IS NOT NULL)"
+_CUES = f"{_NAMED}, cu AS (SELECT model, is_future, route <> 'none' AS cue, {_HIT} = 1 AS outcome FROM nk WHERE is_future IS NOT NULL AND route IS NOT NULL)"
 
 
 def _cells(x: DataFrame, *by: str) -> DataFrame:
@@ -300,8 +305,10 @@ def _cells(x: DataFrame, *by: str) -> DataFrame:
 
 
 def _decoded(spark: SparkSession, d: str) -> DataFrame:
-    """The rows of neighborhood_key of the three decoded models, however these are spelled."""
-    return spread(table(spark, d, "neighborhood_key")).withColumn("model", named(F.col("model"), scaffold.MODELS)).where(F.col("model").isin(*scaffold.MODELS))
+    """The rows of neighborhood_key whose model is one of `models` under any spelling, with the name it has there."""
+    names = table(spark, d, "models").select(plain_key(F.col("model")).alias("_key"), F.col("model").alias("_name"))
+    x = spread(table(spark, d, "neighborhood_key")).withColumn("_key", plain_key(F.col("model"))).join(names, "_key")
+    return x.withColumn("model", F.col("_name")).drop("_key", "_name")
 
 
 def _cues(spark: SparkSession, d: str) -> DataFrame:
@@ -450,7 +457,9 @@ def q32_round_robin(spark: SparkSession, d: str) -> DataFrame:
     return sampling.round_robin(table(spark, d, "judge_failures").select("failure_id", "source"), "source", "failure_id", 80)
 
 
-@query()
+@query(rf"""WITH {_P}, o AS (SELECT target, prefix, {_DRAW.format(seed=20260808, key='row_id')} AS draw FROM p), n AS (SELECT target, prefix, coalesce(lead(prefix) OVER (ORDER BY draw), first_value(prefix) OVER (ORDER BY draw)) AS other FROM o),
+ t AS (SELECT target, [left(lower(w), 4) for w in regexp_extract_all(coalesce(prefix, ''), '[A-Za-z]+')] AS a, [left(lower(w), 4) for w in regexp_extract_all(coalesce(other, ''), '[A-Za-z]+')] AS b FROM n WHERE target <> '')
+ SELECT count(*) AS n, round(avg(CASE WHEN list_contains(a, left(target, 4)) THEN 1 ELSE 0 END), 9) AS real, round(avg(CASE WHEN list_contains(b, left(target, 4)) THEN 1 ELSE 0 END), 9) AS null_share FROM t""")
 def q33_permutation_null(spark: SparkSession, d: str) -> DataFrame:
     """Overlap of targets with their own prompts, and with those of other items: the null."""
     x = sampling.permuted_pairs(_prompts(spark, d).drop("words"), "row_id", "prefix")
@@ -507,7 +516,7 @@ def q39_set_readings(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_LAST}, k AS (SELECT id, min(key_no) AS key_no, arg_min(model, key_no) AS model, arg_min(route, key_no) AS route, arg_min(rank, key_no) AS rank FROM neighborhood_key WHERE id IS NOT NULL GROUP BY id), f AS (SELECT nbr_id AS id, count(*) AS n_failures FROM judge_failures GROUP BY ALL)
- SELECT k.id, k.key_no, coalesce(m.family, 'unknown') AS family, k.route, k.rank, lw.form, lw.meaning, coalesce(n_failures, 0) AS n_failures, CAST(CASE WHEN lw.form >= 2 AND k.rank BETWEEN 1 AND 100 THEN 1 ELSE 0 END AS INT) AS formed_hit FROM k LEFT JOIN models m ON m.model = k.model LEFT JOIN lw ON lw.id = k.id LEFT JOIN f ON f.id = k.id""")
+ SELECT k.id, k.key_no, coalesce(m.family, 'unknown') AS family, k.route, k.rank, lw.form, lw.meaning, coalesce(n_failures, 0) AS n_failures, CAST(CASE WHEN lw.form >= 2 AND k.rank BETWEEN 1 AND 100 THEN 1 ELSE 0 END AS INT) AS formed_hit FROM k LEFT JOIN models m ON {sql.plain_key("m.model")} = {sql.plain_key("k.model")} LEFT JOIN lw ON lw.id = k.id LEFT JOIN f ON f.id = k.id""")
 def q40_verification_mart(spark: SparkSession, d: str) -> DataFrame:
     """One row per neighborhood: its first key row, its model's family, its last labels and its failed answers."""
     first = lambda c: F.min_by(c, "key_no").alias(c)
@@ -531,7 +540,13 @@ def q41_verified_deletions(spark: SparkSession, d: str) -> DataFrame:
     return x.select("row_id", "donor", F.length("after").alias("n_after"), perturbation.deletion_status(F.col("prefix"), F.col("after"), F.col("donor")).alias("status"))
 
 
-@query()
+_NEAREST = """lc AS (SELECT word, length(word) AS len, CAST(round(log10(n_docs + 1) * 100) AS INT) AS step, left(word, 3) AS head FROM lex),
+ tg AS (SELECT DISTINCT lc.* FROM lc JOIN wanted ON wanted.word = lc.word), nf AS (SELECT word, substitute, CAST(gap AS INT) AS gap FROM (SELECT tg.word, lc.word AS substitute, abs(lc.step - tg.step) AS gap, row_number() OVER (PARTITION BY tg.word ORDER BY abs(lc.step - tg.step), lc.word) AS rn FROM tg JOIN lc ON tg.len = lc.len AND tg.head <> lc.head AND abs(lc.step - tg.step) <= 150) WHERE rn = 1)"""
+_CAPITAL = "upper(left({0}, 1)) || substring({0}, 2)"
+
+
+@query(rf"""WITH {_DONORS}, {_LEX}, x AS (SELECT sa.row_id, sa.stems[1] AS word, p.prefix FROM sa JOIN p USING (row_id) WHERE len(stems) > 0), wanted AS (SELECT DISTINCT word FROM x), {_NEAREST}
+ SELECT row_id, word, substitute, regexp_replace(regexp_replace(prefix, '\b' || {_CAPITAL.format("word")} || '\b', {_CAPITAL.format("substitute")}, 'g'), '\b' || word || '\b', substitute, 'g') AS edited FROM x JOIN nf USING (word)""")
 def q42_substitutions(spark: SparkSession, d: str) -> DataFrame:
     """Prompts with their first stem donor replaced by the word nearest to it in corpus frequency."""
     p = spread(_prompts(spark, d))
@@ -561,7 +576,7 @@ def q44_bigram_cloze(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("recall", F.round(F.col("recalled") / F.col("n"), 9))
 
 
-@query("""WITH x AS (SELECT model, route, count(*) AS n, sum(CASE WHEN rank BETWEEN 1 AND 100 THEN 1 ELSE 0 END) AS k FROM neighborhood_key WHERE model IN ('talkie-base', 'talkie-web', 'typewriter') GROUP BY ALL)
+@query(f"""WITH {_NAMED}, x AS (SELECT model, route, count(*) AS n, sum({_HIT}) AS k FROM nk GROUP BY ALL)
  SELECT model, round(sum(CASE WHEN k > 0 AND k < n THEN (1 - k / n) / (n * k / n) ELSE 'infinity'::DOUBLE END), 9) AS variance, round(sum(CASE WHEN k > 0 AND k < n THEN (1 - k / n) / (sum_n / 3 * k / n) ELSE 'infinity'::DOUBLE END), 9) AS variance_even FROM (SELECT *, sum(n) OVER (PARTITION BY model) AS sum_n FROM x) GROUP BY model""")
 def q45_allocation_variance(spark: SparkSession, d: str) -> DataFrame:
     """Delta-method variance of the log rates of three routes, for the sample as it is and for one of equal parts."""
@@ -575,7 +590,12 @@ def q45_allocation_variance(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- further readings
 
-_LATINATE = "(tion|sion|ity|ology|ism|ation|ator|icity|ometry|osis)$"
+# Endings that mark a Latinate word, and those that mark a technical one.
+_LATINATE = "(tion|sion|ment|ity|ance|ence|ism|ist|ology|osis|itis|oma|ate|ic|ive|ous|al)$"
+_TECHNICAL = (
+    "ase", "ergic", "tron", "itis", "osis", "oma", "ose", "yl", "ide", "ine", "gen", "cyte", "blast", "plasm", "phyll", "lyte", "mer", "ium", "meter", "scope", "graph", "phore", "stat", "tomy", "ectomy",
+    "pathy", "emia", "uria", "oid", "logy", "lysis", "phyte", "sperm", "therm", "valent", "metry", "genic", "ferous", "hydrate", "acid",
+)
 
 
 @query(f"""WITH {_CUES}, r AS (SELECT model, is_future, avg(outcome::INT) FILTER (cue) AS with_cue, avg(outcome::INT) FILTER (NOT cue) AS without, count(*) AS n FROM cu GROUP BY ALL)
@@ -609,11 +629,11 @@ def q49_items_of_all_models(spark: SparkSession, d: str) -> DataFrame:
     return g.where("n = 3").drop("n")
 
 
-@query(f"""WITH {_P}, {_LEX}, tw AS (SELECT model, target, rank, {_SUFFIX} AS ending FROM p WHERE length(target) >= 7 AND regexp_full_match(target, '\\p{{L}}+'))
+@query(f"""WITH {_P}, {_LEX}, tw AS (SELECT model, target, rank, coalesce(regexp_extract(target, '.*?({"|".join(sorted(_TECHNICAL, key=len, reverse=True))})$', 1), '') AS ending FROM p WHERE length(target) >= 7 AND regexp_full_match(target, '\\p{{L}}+'))
  SELECT model, ending, count(*) AS n, count(*) FILTER (coalesce(n_docs, 0) <= 3) AS n_technical, round(avg({_HIT}) FILTER (coalesce(n_docs, 0) <= 3), 9) AS technical_recall FROM tw LEFT JOIN lex ON lex.word = tw.target WHERE ending <> '' GROUP BY ALL""")
 def q50_technical_words(spark: SparkSession, d: str) -> DataFrame:
     """Long targets with a learned ending that few documents know, and how often they are recalled."""
-    x = predictions.predictions(spark, d).select("model", norm(F.col("target_word")).alias("word"), "rank").where(F.col("word").rlike(r"^\p{L}{7,}$")).withColumn("ending", neighborhood.longest_suffix(F.col("word"))).where("ending <> ''")
+    x = predictions.predictions(spark, d).select("model", norm(F.col("target_word")).alias("word"), "rank").where(F.col("word").rlike(r"^\p{L}{7,}$")).withColumn("ending", neighborhood.longest_of(F.col("word"), _TECHNICAL)).where("ending <> ''")
     rare = F.coalesce("n_docs", F.lit(0)) <= 3
     g = x.join(_lexicon(spark, d), "word", "left").groupBy("model", "ending")
     return g.agg(F.count(F.lit(1)).alias("n"), F.count_if(rare).alias("n_technical"), F.round(F.avg(F.when(rare, predictions.hit(F.col("rank"), 100))), 9).alias("technical_recall"))

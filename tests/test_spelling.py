@@ -15,7 +15,7 @@ def test_spellings_count_as_one(spark, tmp_path):
     spark.createDataFrame([], "line_no long, id string, form int, meaning int, sheet string").write.parquet(f"{d}/label_log.parquet")
     spark.createDataFrame([], "nbr_id string").write.parquet(f"{d}/judge_failures.parquet")
     q = {n.split("_")[0]: f for n, f in entry.queries().items() if n[:1] == "q"}
-    assert [(r.grade, r.n_talkie_base) for r in q["q18"](spark, d).collect()] == [("STEM+AFFIX", 25)] * 2
+    assert [(r.model, r.grade, r.n) for r in q["q18"](spark, d).collect()] == [("talkie-base", "STEM+AFFIX", 25)] * 2
     hits = F.expr("a + b + c + d").alias("n")
     assert [tuple(r) for r in q["q20"](spark, d).select("model", hits).collect()] == [("talkie-base", 50)]
     assert [r.model for r in q["q21"](spark, d).collect()] == [r.model for r in q["q45"](spark, d).collect()] == ["talkie-base"]
