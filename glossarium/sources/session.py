@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,15 +19,32 @@ def share_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared checkpoint folder, so that a lost executor costs no recomputation.
-    A folder of our own is set only where the session names none, as in tests."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that every executor sees: spark.checkpoint.dir.  Where the session names none
+    and runs on this machine alone, as in tests, a folder of our own; elsewhere ValueError."""
+    sc = spark.sparkContext
+    named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", "")
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="glossarium-checkpoint-"))
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="glossarium-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the shared folder, so that a lost executor costs no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, computed once and written as a compressed table to the shared folder; for wide rows that are read again by
+    columns.  The session's checkpoint folder is cleared with the session's data."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df in at least as many partitions as there are cores; only a small input, read in few splits, is moved."""
     least = df.sparkSession.sparkContext.defaultParallelism
