@@ -5,25 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossarium import sql
 from glossarium.llm import frequency, leakage, lookalike, mixing, reading, sampling, truncation
 from glossarium.operators.packed import packed_lists
 from glossarium.sources.session import spread, table
 
 RARE_BELOW, COMMON_ABOVE = 3, 0.03
-# Each term of a suffix is a column: longer lists are refused, not cut.
-MOST_TERMS = 100
 
 
 def _frequencies(spark: SparkSession, d: str) -> DataFrame:
-    """All n-grams of the lists, whole lists too: n goes as far as the longest list."""
+    """All terms, and all n-grams of the lists, up to whole lists, that occur twice or more."""
     words = spread(table(spark, d, "postcutoff_words"))
     lists = packed_lists(words, "row_id", "top_10_words").select(F.lit("top_10_words").alias("field"), F.filter("slots", lambda v: v != "").alias("terms"))
-    longest = lists.agg(F.max(F.size("terms"))).first()[0] or 1
-    if longest > MOST_TERMS:
-        raise ValueError(f"a list has {longest} terms, more than {MOST_TERMS}")
     target = F.lower(F.regexp_replace("target_word", r"^[\s ]+|[\s ]+$", ""))
     targets = words.select(F.lit("target_word").alias("field"), F.array(target).alias("terms")).where(target != "")
-    counts = frequency.ngram_frequencies(lists.unionByName(targets), max(longest, 1))
+    counts = frequency.ngram_frequencies(lists.unionByName(targets), least=2)
     return frequency.mark_frequencies(counts, words.count(), RARE_BELOW, COMMON_ABOVE)
 
 
@@ -123,10 +119,21 @@ def p8_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_quotas, p2_sample, p3_found, p3_rates, p4_found, p4_consistent, p4_report, p6_found, p6_items, p7_found, p7_mixture, p7_report, p8_found, p8_levels)}
-_PLAIN = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
-_PARTS = r"array_to_string(list_sort([x for x in regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+') if x <> '']), '+')"
-_SUPPLY = f"""WITH c AS (SELECT {_PLAIN.format("model")} AS m, CASE WHEN grade IS NOT NULL THEN {_PARTS.format("grade")} END AS g, is_future, count(DISTINCT (upper(trim(id, ' ')), {_PLAIN.format("model")})) AS available
+_SUPPLY = f"""WITH c AS (SELECT {sql.plain_key("model")} AS m, {sql.parts_key("grade")} AS g, is_future, count(DISTINCT (upper(trim(id, ' ')), {sql.plain_key("model")})) AS available
  FROM neighborhood_key WHERE id IS NOT NULL AND model IS NOT NULL AND grade IS NOT NULL AND is_future IS NOT NULL GROUP BY ALL),
- s AS (SELECT t.*, share * sample_size AS wanted, coalesce(available, 0) AS available FROM sample_targets t LEFT JOIN c ON c.m = {_PLAIN.format("t.model")} AND c.g = {_PARTS.format("t.grade")} AND c.is_future = t.is_future)"""
-#: The others can't be said in SQL (models, walks, tokenizers, Unicode tables); they are tested by brute force.
-ORACLES: dict[str, str] = {"p2_found": _SUPPLY + " SELECT target_set, model, grade, is_future FROM s WHERE available < greatest(wanted, min_rows)"}
+ s AS (SELECT t.*, share * sample_size AS wanted, coalesce(available, 0) AS available FROM sample_targets t LEFT JOIN c ON c.m = {sql.plain_key("t.model")} AND c.g = {sql.parts_key("t.grade")} AND c.is_future = t.is_future)"""
+_TERMS = rf"""WITH {sql.slots("postcutoff_words", "row_id", "top_10_words")}, r AS (SELECT 'top_10_words' AS field, k, list_filter(slots, lambda v: v <> '') AS terms FROM sl
+  UNION ALL SELECT 'target_word', row_id, [lower(regexp_replace(regexp_replace(target_word, '^[\s\x{{A0}}]+', ''), '[\s\x{{A0}}]+$', ''))] FROM postcutoff_words WHERE trim(target_word, chr(160) || ' ' || chr(9) || chr(10)) <> ''),
+ i AS (SELECT *, unnest(range(1, len(terms) + 1)) AS i FROM r), g AS (SELECT field, k, j - i + 1 AS n, terms[i:j] AS gram FROM (SELECT *, unnest(range(i, len(terms) + 1)) AS j FROM i)),
+ f AS (SELECT field, gram, CAST(n AS INT) AS n, count(*) AS occurrences, count(DISTINCT k) AS records FROM g GROUP BY ALL),
+ m AS (SELECT *, CASE WHEN records < {RARE_BELOW} THEN 'rare' WHEN records > {COMMON_ABOVE} * (SELECT count(*) FROM postcutoff_words) THEN 'common' END AS mark FROM f)"""
+_FORMS = " UNION ALL ".join(f"SELECT row_id, '{f}' AS field, {f} AS original, {sql.consistent(f)} AS consistent FROM postcutoff_words WHERE {f} IS NOT NULL" for f in ("text", "top_10_words"))
+#: The others can't be said in SQL (models, walks, tokenizers); they are tested by brute force.
+ORACLES: dict[str, str] = {
+    "p1_found": _TERMS + " SELECT field, gram[1] AS term, mark FROM m WHERE n = 1 AND mark IS NOT NULL",
+    "p1_frequencies": _TERMS + " SELECT field, array_to_string(gram, ' | ') AS term, n, occurrences, records, mark FROM m WHERE n = 1 OR occurrences > 1",
+    "p2_found": _SUPPLY + " SELECT target_set, model, grade, is_future FROM s WHERE available < greatest(wanted, min_rows)",
+    "p4_found": f"SELECT row_id, field FROM ({_FORMS}) WHERE original <> consistent",
+    "p4_consistent": f"SELECT * FROM ({_FORMS}) WHERE original <> consistent",
+    "p4_report": f"SELECT field, count(*) AS n_values, count(*) FILTER (original <> consistent) AS n_cases FROM ({_FORMS}) GROUP BY field",
+}

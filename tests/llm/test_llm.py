@@ -10,19 +10,52 @@ from pyspark.sql import functions as F
 from glossarium.llm import frequency, leakage, lookalike, mixing, queries, reading, sampling, truncation
 
 
-@pytest.mark.parametrize("n", [1, 2, 3])
-def test_ngram_frequencies_against_brute_force(spark, n):
-    random.seed(n)
-    lists = [[random.choice("abcd") for _ in range(random.randint(0, 9))] for _ in range(200)]
-    rows = [("f", r, "x") for r in lists + lists[:5]] + [("g", None, "x"), ("g", [], None), (None, ["x", "x", None], None)]
-    got = {(r.field, tuple(r.gram)): (r.occurrences, r.records, r.n) for r in frequency.ngram_frequencies(spark.createDataFrame(rows, "field string, terms array<string>, gram string"), n).collect()}
+def _brute_force(rows):
     occ, rec = Counter(), Counter()
-    for f, terms, _ in rows:
+    for f, terms, *_ in rows:
         t = [x for x in terms or [] if x is not None]
-        grams = [(f, tuple(t[i : i + k])) for k in range(1, n + 1) for i in range(len(t) - k + 1)]
+        grams = [(f, tuple(t[i:j])) for i in range(len(t)) for j in range(i + 1, len(t) + 1)]
         occ.update(grams)
         rec.update(set(grams))
-    assert got == {g: (occ[g], rec[g], len(g[1])) for g in occ}
+    return {g: (occ[g], rec[g], len(g[1])) for g in occ}
+
+
+@pytest.mark.parametrize("least", [1, 2])
+def test_ngram_frequencies_against_brute_force(spark, monkeypatch, least):
+    random.seed(least)
+    monkeypatch.setattr(frequency, "SHORT_CODES", 5)
+    words = ["a", "b", "c", "d", "de", "a long term", "a long term of many words", "", "éà", "x" * 100, "b\x1fc"]
+    lists = [[random.choice(words) for _ in range(random.randint(0, 9))] for _ in range(200)]
+    rows = [("f", r, "x") for r in lists + lists[:5] * 3] + [("g", None, "x"), ("g", [], None), (None, ["x", "x", None], None), ("", ["x"], None), ("f", ["b", "c"], None)]
+    rows += [("h", [str(i % 7) for i in range(90)], None)]
+    df = spark.createDataFrame(rows, "field string, terms array<string>, gram string")
+    got = {(r.field, tuple(r.gram)): (r.occurrences, r.records, r.n) for r in frequency.ngram_frequencies(df, least).collect()}
+    assert got == {g: v for g, v in _brute_force(rows).items() if v[2] == 1 or v[0] >= least}
+
+
+def test_intervals_across_steps_and_partitions(spark):
+    random.seed(9)
+    rows = [("f", [random.choice("ab") for _ in range(random.randint(1, 6))]) for _ in range(300)]
+    df = spark.createDataFrame(rows, "field string, terms array<string>").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        got = {(r.field, tuple(r.gram)): (r.occurrences, r.records, r.n) for r in frequency.ngram_frequencies(df, 2, 20).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {g: v for g, v in _brute_force(rows).items() if v[2] == 1 or v[0] >= 2}
+
+
+def test_suffixes_of_one_record():
+    rng = random.Random(4)
+    for n in [*range(1, 12), 200]:
+        t = [rng.choice("ab") for _ in range(n)]
+        got = frequency.shared_with_before(np.array([ord(c) for c in t]))
+        places = sorted(range(n), key=lambda i: t[i:])
+        want = [0] * n
+        for a, b in zip(places, places[1:]):
+            while max(a, b) + want[b] < n and t[a + want[b]] == t[b + want[b]]:
+                want[b] += 1
+        assert list(got) == want
 
 
 def test_frequencies_hold_whole_lists(spark, tmp_path):
