@@ -231,7 +231,8 @@ def ngram_frequencies(rows: DataFrame, least: int = 1, step_rows: int = STEP_ROW
     """
     name = F.coalesce(F.concat(F.lit("="), F.col("field").cast("string")), F.lit(""))
     lists = rows.select(name.alias("field"), F.filter("terms", lambda t: t.isNotNull()).alias("terms"))
-    lists = stored(lists.where(F.size("terms") > 0))
+    # empty lists go after the writing: a filter before it would have the expressions behind terms copied into it
+    lists = stored(lists).where(F.size("terms") > 0)
     each = lists.select(F.explode_outer(F.array_append("terms", F.col("field"))).alias("term")).where(F.length("term") <= SHORT_TERM)
     often = each.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(SHORT_CODES)
     shared = rows.sparkSession.sparkContext.broadcast(pa.array([r.term for r in often.collect()], pa.string()))
