@@ -75,16 +75,25 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_report(spread(table(spark, d, "postcutoff_words")), "row_id", ["text", "top_10_words"])
 
 
-def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaked_passages(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text", window=8, max_edits=0)
+def _leaks(spark: SparkSession, d: str, window: int, max_edits: int) -> DataFrame:
+    return leakage.leaked_passages(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text", window, max_edits)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d).where("edits = 0").select("doc_id", "item_id").distinct()
+    """Passages of eight words up to one edit, of which the exact check keeps those without any."""
+    return _leaks(spark, d, 8, 1).where("edits = 0").select("doc_id", "item_id").distinct()
+
+
+def p6_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Passages of sixteen words, the length of the shortest items, of which up to three differ."""
+    return _leaks(spark, d, 16, 3)
 
 
 def p6_items(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("windows").alias("most_windows"))
+    """For each item the documents with eight of its words in a row, those with as many but for one, and the longest run
+    of matching windows."""
+    docs = lambda c: F.countDistinct(F.when(c, F.col("doc_id")))
+    return _leaks(spark, d, 8, 1).groupBy("item_id").agg(docs(F.col("edits") == 0).alias("n_docs"), docs(F.col("edits") > 0).alias("n_near"), F.max("windows").alias("most_windows"))
 
 
 def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -118,7 +127,7 @@ def p8_levels(spark: SparkSession, d: str) -> DataFrame:
     return _levels(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_quotas, p2_sample, p3_found, p3_rates, p4_found, p4_consistent, p4_report, p6_found, p6_items, p7_found, p7_mixture, p7_report, p8_found, p8_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_quotas, p2_sample, p3_found, p3_rates, p4_found, p4_consistent, p4_report, p6_found, p6_passages, p6_items, p7_found, p7_mixture, p7_report, p8_found, p8_levels)}
 _SUPPLY = f"""WITH c AS (SELECT {sql.plain_key("model")} AS m, {sql.parts_key("grade")} AS g, is_future, count(DISTINCT (upper(trim(id, ' ')), {sql.plain_key("model")})) AS available
  FROM neighborhood_key WHERE id IS NOT NULL AND model IS NOT NULL AND grade IS NOT NULL AND is_future IS NOT NULL GROUP BY ALL),
  s AS (SELECT t.*, share * sample_size AS wanted, coalesce(available, 0) AS available FROM sample_targets t LEFT JOIN c ON c.m = {sql.plain_key("t.model")} AND c.g = {sql.parts_key("t.grade")} AND c.is_future = t.is_future)"""

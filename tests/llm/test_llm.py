@@ -140,52 +140,79 @@ def test_lookalike_fields(spark):
     assert lookalike.lookalike_fields(df.limit(0), "row_id", ["text"]).count() == 0
 
 
-def _leak_tables(spark, edits):
+def _leak_tables(spark, kinds=(), times=0, sizes=(6, 12, 20), short=6):
+    """Items, and documents of which every second holds a passage of one, with so many words replaced, dropped or put in."""
     rng = random.Random(8)
     words = [f"w{i}" for i in range(400)]
-    items = [[rng.choice(words) for _ in range(rng.choice([6, 12, 20]))] for _ in range(40)]
+    items = [[rng.choice(words) for _ in range(rng.choice(sizes))] for _ in range(40)]
     docs = []
-    for i in range(300):
-        d = [rng.choice(words) for _ in range(rng.randint(0, 40))]
+    for i in range(100):
+        d = [rng.choice(words) for _ in range(rng.randint(0, 20))]
         if i % 2:
             it = rng.choice(items)
-            part = it[: rng.randint(6, len(it))]
-            for _ in range(edits):
-                part[rng.randrange(len(part))] = "zz"
+            part = it[: rng.randint(short, len(it))]
+            for _ in range(times):
+                at, kind = rng.randrange(len(part)), rng.choice(kinds)
+                part[at : at + (kind != "put in")] = [] if kind == "dropped" else [rng.choice(["zz", *words])]
             d[len(d) // 2 : len(d) // 2] = part
         docs.append(" ".join(d))
     return items, docs
 
 
+def _near(items, docs, window, edits):
+    """Brute force: (document, item) with windows within so many edits."""
+    ids = {}
+    arrays = lambda t: np.array([[ids.setdefault(w, len(ids)) for w in t[k : k + window]] for k in range(len(t) - window + 1)])
+    held, out = [arrays(t) for t in items], set()
+    owner, every = np.concatenate([np.full(len(h), j) for j, h in enumerate(held)]), np.concatenate([h for h in held if len(h)])
+    for i, t in enumerate(docs):
+        x = arrays(t.split())
+        for k in range(0, len(x), 8):
+            part = x[k : k + 8]
+            d = leakage.edit_distances(np.repeat(part, len(every), 0), np.tile(every, (len(part), 1)))
+            out |= {(i, f"e{j}") for j in owner[np.flatnonzero(d.reshape(len(part), -1).min(0) <= edits)]}
+    return out
+
+
+def _found(spark, items, docs, **how):
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id int, text string")
+    it = spark.createDataFrame([(f"e{i}", " ".join(t)) for i, t in enumerate(items)], "item_id string, text string")
+    return {(r.doc_id, r.item_id) for r in leakage.leaked_passages(d, "doc_id", "text", it, "item_id", "text", **how).collect()}
+
+
 def test_leaks_equal_brute_force(spark):
-    items, docs = _leak_tables(spark, 0)
+    items, docs = _leak_tables(spark)
     d = spark.createDataFrame([*enumerate(docs), (900, None), (901, ""), (902, "W1, _w2_ *w3* w-\n4 " * 3)], "doc_id int, text string")
     it = spark.createDataFrame([(f"e{i}", " ".join(t)) for i, t in enumerate(items)] + [("null", None), ("b", "w1 w2 w3 w4 w1 w2 w3 w4")], "item_id string, text string")
-    got = {(r.doc_id, r.item_id) for r in leakage.leaked_passages(d, "doc_id", "text", it, "item_id", "text", max_edits=0).collect()}
-    grams = [{tuple(t[k : k + 8]) for k in range(len(t) - 7)} for t in items]
-    want = {(i, f"e{j}") for i, t in enumerate(docs) for j, g in enumerate(grams) if g & {tuple(t.split()[k : k + 8]) for k in range(len(t.split()) - 7)}}
-    assert want <= got and got - want <= {(902, "b")}
+    want = _near(items, docs, 8, 0)
+    for edits in (0, 1):
+        for chars in (10_000_000, 500):
+            rows = leakage.leaked_passages(d, "doc_id", "text", it, "item_id", "text", max_edits=edits, block_chars=chars).where("edits = 0")
+            got = {(r.doc_id, r.item_id) for r in rows.collect()}
+            assert want <= got and got - want <= {(902, "b")}
     assert leakage.leaked_passages(d.limit(0), "doc_id", "text", it, "item_id", "text").count() == 0
     assert leakage.leaked_passages(d, "doc_id", "text", it.limit(0), "item_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("kinds", [("replaced",), ("dropped",), ("put in",), ("replaced", "dropped", "put in")])
+def test_edited_leaks_reach_recall(spark, kinds):
+    items, docs = _leak_tables(spark, kinds, 1, sizes=(16, 24, 40), short=15)
+    for window, edits in ((8, 1), (16, 3)):
+        want, got = _near(items, docs, window, edits), _found(spark, items, docs, window=window, max_edits=edits)
+        assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 10
+
+
+def test_unreachable_recall_is_an_error():
+    windows = np.random.default_rng(0).integers(1, 1000, (200, 8))
     with pytest.raises(ValueError):
-        leakage.leaked_passages(d, "doc_id", "text", it, "item_id", "text", max_items=3)
+        leakage.WindowHash(8, 6, 0.999, windows)
 
 
-def test_edited_leaks_reach_recall(spark):
-    items, docs = _leak_tables(spark, 1)
-    d = spark.createDataFrame(list(enumerate(docs)), "doc_id int, text string")
-    it = spark.createDataFrame([(f"e{i}", " ".join(t)) for i, t in enumerate(items)], "item_id string, text string")
-    got = {(r.doc_id, r.item_id) for r in leakage.leaked_passages(d, "doc_id", "text", it, "item_id", "text", max_edits=1).collect()}
-    arrays = lambda t: np.array([[hash(w) for w in t[k : k + 8]] for k in range(len(t) - 7)])
-    want = set()
-    for i, t in enumerate(docs):
-        x = arrays(t.split())
-        for j, g in enumerate(map(arrays, items)):
-            if len(x) and len(g):
-                a, b = np.repeat(x, len(g), 0), np.tile(g, (len(x), 1))
-                if (leakage.edit_distances(a, b) <= 1).any():
-                    want.add((i, f"e{j}"))
-    assert got <= want and len(got) >= 0.9 * len(want) > 0
+def test_hot_passage_in_many_documents_and_items(spark):
+    hot = " ".join(f"h{i}" for i in range(12))
+    docs = [f"{i} {hot} end" for i in range(300)] + ["none of it"]
+    got = _found(spark, [f"{hot} item{j}".split() for j in range(30)], docs, window=8, max_edits=1)
+    assert got == {(i, f"e{j}") for i in range(300) for j in range(30)}
 
 
 def test_mixture(spark):
