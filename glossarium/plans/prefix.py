@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from glossarium.sources.session import materialized
 
 
-def running_totals(df: DataFrame, group: list[str], order: str, tie: list[str], size: str, rows_per_bucket: int = 50_000) -> DataFrame:
+def running_totals(df: DataFrame, group: list[str], order: str, tie: list[str], size: str, rows_per_bucket: int = 50_000, place: str | None = None) -> DataFrame:
     """df with `before`: the sum of size over the rows of the same group that come earlier by (order, tie).
 
-    order is a DOUBLE in [0, 1).  The order is cut into buckets, as many as the number of rows asks for; totals of the
-    buckets are summed up first, and rows are only sorted inside their bucket.  So a group of any size is spread over
-    many tasks.  Rows whose order is null come first; null sizes count as 0.  An empty df gives no rows.
+    place is a DOUBLE in [0, 1], about even over the rows of a group, that never falls where order rises; order itself
+    unless given.  It is cut into buckets, as many as the number of rows asks for; totals of the buckets are summed up
+    first, and rows are only sorted inside their bucket.  So a group of any size is spread over many tasks.  Rows whose
+    order is null come first; null sizes count as 0.  An empty df gives no rows.
     """
     rows = materialized(df)
     n = rows.count()
     buckets = max(1, -(-n // rows_per_bucket))
-    rows = rows.withColumn("_bucket", F.least(F.lit(buckets - 1), F.floor(F.coalesce(F.col(order), F.lit(0.0)) * buckets)).cast("long"))
+    rows = rows.withColumn("_bucket", F.least(F.lit(buckets - 1), F.floor(F.coalesce(F.col(place or order), F.lit(0.0)) * buckets)).cast("long"))
     amount = F.coalesce(F.col(size), F.lit(0))
     totals = rows.groupBy(*group, "_bucket").agg(F.sum(amount).alias("_total"))
     earlier = F.coalesce(F.sum("_total").over(Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
