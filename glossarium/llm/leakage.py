@@ -94,16 +94,21 @@ def _windows(ids: np.ndarray, size: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(ids, size) if len(ids) >= size else np.empty((0, size), ids.dtype)
 
 
-def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Words to insert, drop or replace between two windows, for each row of two arrays of windows."""
-    n, size = a.shape
-    row = np.broadcast_to(np.arange(size + 1), (n, size + 1)).copy()
+def edit_distances(a: np.ndarray, b: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Words to insert, drop or replace between two windows, for each row of two arrays of windows.  With `most`, only
+    places that many words apart are compared, and a distance above it is just some number above it."""
+    size = a.shape[1]
+    most = size if most is None else min(most, size)
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    far = np.full(a.shape[1], most + 1, np.int16)
+    row = [np.full(a.shape[1], j, np.int16) if j <= most else far for j in range(size + 1)]
     for i in range(size):
-        last, row[:, 0] = row[:, 0].copy(), i + 1
-        for j in range(size):
-            here = np.minimum(np.minimum(row[:, j + 1], row[:, j]) + 1, last + (a[:, i] != b[:, j]))
-            last, row[:, j + 1] = row[:, j + 1].copy(), here
-    return row[:, size]
+        low, high = max(0, i - most), min(size, i + most + 1)
+        last, row[low] = row[low], np.full(a.shape[1], i + 1, np.int16) if low == 0 and i < most else far if low else row[0] + np.int16(1)
+        for j in range(low, high):
+            here = np.minimum(np.minimum(row[j + 1] if j + 1 <= i + most else far, row[j]) + np.int16(1), last + (a[i] != b[j]))
+            last, row[j + 1] = row[j + 1], here
+    return row[size].astype(np.int64)
 
 
 def _pairs_of(table: np.ndarray, found: np.ndarray) -> np.ndarray:
@@ -173,7 +178,7 @@ class _Index:
                 near = [np.unique(np.concatenate(near))]
         near = np.unique(np.concatenate(near))
         w, item = near // len(self.windows), near % len(self.windows)
-        edits = np.concatenate([np.empty(0, np.int64), *(edit_distances(found[w[i : i + 200_000]], self.windows[item[i : i + 200_000]]) for i in range(0, len(w), 200_000))])
+        edits = np.concatenate([np.empty(0, np.int64), *(edit_distances(found[w[i : i + 200_000]], self.windows[item[i : i + 200_000]], self.max_edits) for i in range(0, len(w), 200_000))])
         ok = edits <= self.max_edits
         best = pd.DataFrame({"w": w[ok], "owner": self.owners[item[ok]], "edits": edits[ok]}).groupby(["w", "owner"]).edits.min().reset_index()
         places = pd.DataFrame({"w": back.ravel(), "doc": doc})

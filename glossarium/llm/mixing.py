@@ -61,7 +61,7 @@ def document_sizes(docs: DataFrame, key: str, text: str, source: str, tokenizer:
 
 
 def mixture_plan(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
-    """(source, weight, max_repeat, tokens, budget, epochs, rest, copies_short) for each target source.
+    """(name, source, weight, max_repeat, tokens, budget, epochs, rest, short) for each target source.
 
     budget is weight x total, total being the tokens of all documents unless given.  epochs is the number of whole
     passes over the source, at most max_repeat; rest the tokens to take from one more pass where max_repeat allows it;
@@ -80,6 +80,16 @@ def mixture_plan(sizes: DataFrame, targets: DataFrame, total: int | None = None)
     return plan.select("name", "source", "weight", "max_repeat", "tokens", "budget", "epochs", rest.alias("rest"), "short")
 
 
+def _even_place(keyed: DataFrame) -> DataFrame:
+    """keyed with `_place`: the share of the documents of its source that are expected before a document's key, which is
+    1 - mean(exp(-key x quality)) over the source; qualities are taken in twenty steps, so that a source has one short
+    row of them.  Low qualities, whose keys are large, are spread like others."""
+    step = F.greatest(F.ceil(F.col("quality") * 20), F.lit(1)) / 20.0
+    shares = keyed.groupBy("source", step.alias("w")).agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("source").alias("_s")).agg(F.collect_list(F.struct("w", "n")).alias("_w"), F.sum("n").alias("_n"))
+    after = F.aggregate("_w", F.lit(0.0), lambda total, x: total + x["n"] * F.exp(-F.col("_order") * x["w"]))
+    return keyed.join(shares, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_place", F.greatest(F.lit(0.0), 1 - after / F.col("_n"))).drop("_s", "_w", "_n")
+
+
 def mixed_documents(sizes: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
     """(source, doc, tokens, copies): how often each document is taken; documents taken no time give no row.
 
@@ -88,20 +98,21 @@ def mixed_documents(sizes: DataFrame, plan: DataFrame, seed: int = 0) -> DataFra
     them are fewer than the rest.  Running totals go over buckets of the key, so that a source of any size is spread over
     many tasks.  Documents of no target source, and of weight 0, aren't taken.
     """
-    p = plan.select("name", "source", "epochs", "rest", F.col("tokens").alias("all_tokens"))
+    p = plan.select("name", "source", "epochs", "rest")
     chance = F.greatest(hashed_order("doc", seed=seed), F.lit(1e-18))
-    keyed = sizes.where("tokens > 0").withColumn("_order", 1 - F.exp(F.ln(chance) / F.col("quality")))
-    ranked = running_totals(keyed.select("source", "doc", "tokens", "_order"), ["source"], "_order", ["doc"], "tokens")
+    keyed = sizes.where("tokens > 0").join(plan.select("source"), "source", "left_semi").withColumn("_order", -F.ln(chance) / F.col("quality"))
+    ranked = running_totals(_even_place(keyed).select("source", "doc", "tokens", "_order", "_place"), ["source"], "_order", ["doc"], "tokens", place="_place")
     copies = F.col("epochs") + F.when(F.col("before") < F.col("rest"), 1).otherwise(0)
     rows = ranked.join(p, "source").withColumn("copies", copies).where("copies > 0")
     return rows.select(F.col("name").alias("source"), "doc", "tokens", "copies")
 
 
 def mixture_report(mixed: DataFrame, plan: DataFrame) -> DataFrame:
-    """(source, weight, actual_share, tokens, taken_tokens, short): the shares that the mixture really has."""
+    """(source, weight, actual_share, tokens, budget, taken_tokens, short): the shares that the mixture really has, and
+    whether what was taken of a source is less than its budget."""
     taken = mixed.groupBy(F.col("source").alias("name")).agg(F.sum(F.col("tokens") * F.col("copies")).alias("taken_tokens"))
-    rows = plan.join(taken, "name", "left").withColumn("taken_tokens", F.coalesce("taken_tokens", F.lit(0).cast("long")))
+    rows = plan.drop("short").join(taken, "name", "left").withColumn("taken_tokens", F.coalesce("taken_tokens", F.lit(0).cast("long")))
     whole = rows.agg(F.sum("taken_tokens").alias("all_taken"))
     rows = rows.join(F.broadcast(whole))
     share = F.when(F.col("all_taken") > 0, F.col("taken_tokens") / F.col("all_taken")).otherwise(F.lit(0.0))
-    return rows.select(F.col("name").alias("source"), "weight", share.alias("actual_share"), "tokens", "taken_tokens", "short")
+    return rows.select(F.col("name").alias("source"), "weight", share.alias("actual_share"), "tokens", "budget", "taken_tokens", (F.col("taken_tokens") < F.col("budget")).alias("short"))

@@ -101,10 +101,6 @@ def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return sizes, mixing.mixture_plan(sizes, table(spark, d, "mix_targets"))
 
 
-def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _mixture(spark, d)[1].where("short").select(F.col("name").alias("source"))
-
-
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixed_documents(*_mixture(spark, d))
 
@@ -114,6 +110,11 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture_report(mixing.mixed_documents(sizes, plan), plan)
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """The sources of which the mixture has less than their share, repeated as often as is allowed."""
+    return p7_report(spark, d).where("short").select("source")
+
+
 def _levels(spark: SparkSession, d: str) -> DataFrame:
     ratings = table(spark, d, "reading_labels").select(F.col("doc_id").alias("doc"), "level")
     return reading.reading_levels(table(spark, d, "documents"), "doc_id", "text", "lang", ratings)

@@ -242,6 +242,17 @@ def test_quality_weights_favour_better_documents(spark):
     assert kinds[1] > 2 * kinds[0]
 
 
+def test_low_weights_are_spread_and_ordered_by_their_keys(spark):
+    keyed = spark.range(40_000).select(F.col("id").alias("doc"), F.lit("s").alias("source"), F.when(F.col("id") % 2 == 0, 0.05).otherwise(0.9).alias("quality"))
+    keyed = keyed.withColumn("_order", -F.ln(F.rand(3)) / F.col("quality"))
+    placed = mixing._even_place(keyed)
+    sizes = [r["count"] for r in placed.groupBy(F.floor(F.col("_place") * 20).alias("b")).count().collect()]
+    assert len(sizes) in (20, 21) and max(sizes) < 2 * 40_000 / 20
+    assert placed.select(F.countDistinct("_order").alias("n")).first().n == 40_000
+    rows = placed.orderBy("_order").select("_place").collect()
+    assert all(a._place <= b._place for a, b in zip(rows, rows[1:]))
+
+
 def test_sentences():
     assert [len(s) for s in reading.sentences("A cat sat. It ran!\nThe end")] == [3, 2, 2]
     assert [len(s) for s in reading.sentences("We ran, and then we sat, and then we ate")] == [2, 2, 2]
