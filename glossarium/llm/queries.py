@@ -38,13 +38,22 @@ def _supply(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return records, sampling.cell_supply(records, table(spark, d, "sample_targets"))
 
 
+def _sample_report(spark: SparkSession, d: str) -> DataFrame:
+    records, supply = _supply(spark, d)
+    return sampling.sample_report(sampling.proportional_sample(records, supply), supply)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    quotas = sampling.sample_quotas(_supply(spark, d)[1])
-    return quotas.where("available < needed").select("target_set", "model", "grade", "is_future")
+    """The cells of which the drawn sample has all there is, and still less than is asked for."""
+    return _sample_report(spark, d).where("short").select("target_set", "model", "grade", "is_future")
 
 
 def p2_quotas(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.sample_quotas(_supply(spark, d)[1]).select("target_set", "model", "grade", "is_future", "share", "min_rows", "wanted", "available", "taken")
+    return _sample_report(spark, d).select("target_set", "model", "grade", "is_future", "share", "min_rows", "wanted", "available", "reached", "reached_share", "off", "short")
+
+
+def p2_margins(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.margin_report(_sample_report(spark, d))
 
 
 def p2_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -128,7 +137,7 @@ def p8_levels(spark: SparkSession, d: str) -> DataFrame:
     return _levels(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_quotas, p2_sample, p3_found, p3_rates, p4_found, p4_consistent, p4_report, p6_found, p6_passages, p6_items, p7_found, p7_mixture, p7_report, p8_found, p8_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_quotas, p2_margins, p2_sample, p3_found, p3_rates, p4_found, p4_consistent, p4_report, p6_found, p6_passages, p6_items, p7_found, p7_mixture, p7_report, p8_found, p8_levels)}
 _SUPPLY = f"""WITH c AS (SELECT {sql.plain_key("model")} AS m, {sql.parts_key("grade")} AS g, is_future, count(DISTINCT (upper(trim(id, ' ')), {sql.plain_key("model")})) AS available
  FROM neighborhood_key WHERE id IS NOT NULL AND model IS NOT NULL AND grade IS NOT NULL AND is_future IS NOT NULL GROUP BY ALL),
  s AS (SELECT t.*, share * sample_size AS wanted, coalesce(available, 0) AS available FROM sample_targets t LEFT JOIN c ON c.m = {sql.plain_key("t.model")} AND c.g = {sql.parts_key("t.grade")} AND c.is_future = t.is_future)"""

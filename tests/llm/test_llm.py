@@ -79,16 +79,25 @@ def test_swap_repair():
     for _ in range(50):
         k = int(rng.integers(1, 12))
         available = rng.integers(0, 50, k)
-        shares = rng.dirichlet(np.ones(k))
         size = int(rng.integers(0, 200))
+        wanted = rng.dirichlet(np.ones(k)) * size
         floors = np.minimum(available, rng.integers(0, 4, k))
-        taken = sampling.repaired_counts(available, floors, shares * size, size, seed=1)
+        targets = np.concatenate([np.eye(k), rng.integers(0, 2, (3, k)).astype(float)])
+        taken = sampling.repaired_counts(available, floors, wanted, size, targets, seed=1)
         assert (taken <= available).all() and (taken >= floors).all()
         assert taken.sum() == max(floors.sum(), min(size, available.sum()))
-        gap = taken - shares * size
-        over, under = gap[taken > floors], -gap[taken < available]
-        if len(over) and len(under):
-            assert over.max() + under.max() <= 1 + 1e-9 or np.argmax(gap) == np.argmin(gap)
+        for a in np.flatnonzero(taken > floors):
+            for b in np.flatnonzero(taken < available):
+                other = taken.copy()
+                other[a] -= 1
+                other[b] += 1
+                assert sampling.deviation(other, wanted, targets) >= sampling.deviation(taken, wanted, targets) - 1e-6
+
+
+def test_swap_repair_of_very_many_records():
+    available = np.array([3 * 10**12, 10**10, 5], np.int64)
+    taken = sampling.repaired_counts(available, np.zeros(3, np.int64), np.array([6e9, 3e9, 1e9]), 10**10)
+    assert taken.sum() == 10**10 and taken[2] == 5 and abs(taken[1] - 3e9) <= 1e9
 
 
 def test_supply_and_sample(spark):
@@ -101,7 +110,13 @@ def test_supply_and_sample(spark):
     assert got == {"model-a": (40, 10.0), "model-b": (1, 10.0)}
     sample = sampling.proportional_sample(rec, supply).collect()
     assert Counter(r.model for r in sample) == {"model-a": 19, "model-b": 1} and len({r.entity for r in sample}) == 20
+    report = sampling.sample_report(sampling.proportional_sample(rec, supply), supply)
+    assert {r.model: (r.reached, r.short) for r in report.collect()} == {"model-a": (19, False), "model-b": (1, True)}
+    margins = {(r.category, r.value): round(r.reached_share, 9) for r in sampling.margin_report(report).collect()}
+    assert margins == {("model", "model-a"): 0.95, ("model", "model-b"): 0.05, ("grade", "STEM+AFFIX"): 0.95, ("grade", "NONE"): 0.05, ("is_future", "0"): 0.95, ("is_future", "1"): 0.05}
     assert sampling.cell_supply(rec.limit(0), targets).where("available = 0").count() == 2
+    empty = sampling.cell_supply(rec.limit(0), targets)
+    assert sampling.sample_report(sampling.proportional_sample(rec.limit(0), empty), empty).where("short and reached = 0").count() == 2
 
 
 def test_truncated_texts(spark):
