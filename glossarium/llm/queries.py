@@ -133,11 +133,16 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return _levels(spark, d).where("level >= 4 and n_words >= 60").select("doc_id")
 
 
+def p8_words(spark: SparkSession, d: str) -> DataFrame:
+    """The list of familiar words, with the document counts that it comes from."""
+    return reading.corpus_words(table(spark, d, "documents"), "doc_id", "text", "lang")
+
+
 def p8_levels(spark: SparkSession, d: str) -> DataFrame:
     return _levels(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_quotas, p2_margins, p2_sample, p3_found, p3_rates, p4_found, p4_consistent, p4_report, p6_found, p6_passages, p6_items, p7_found, p7_mixture, p7_report, p8_found, p8_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_quotas, p2_margins, p2_sample, p3_found, p3_rates, p4_found, p4_consistent, p4_report, p6_found, p6_passages, p6_items, p7_found, p7_mixture, p7_report, p8_found, p8_levels, p8_words)}
 _SUPPLY = f"""WITH c AS (SELECT {sql.plain_key("model")} AS m, {sql.parts_key("grade")} AS g, is_future, count(DISTINCT (upper(trim(id, ' ')), {sql.plain_key("model")})) AS available
  FROM neighborhood_key WHERE id IS NOT NULL AND model IS NOT NULL AND grade IS NOT NULL AND is_future IS NOT NULL GROUP BY ALL),
  s AS (SELECT t.*, share * sample_size AS wanted, coalesce(available, 0) AS available FROM sample_targets t LEFT JOIN c ON c.m = {sql.plain_key("t.model")} AND c.g = {sql.parts_key("t.grade")} AND c.is_future = t.is_future)"""

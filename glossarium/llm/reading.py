@@ -1,4 +1,8 @@
-"""Reading level of documents by a familiar-word formula calibrated on rated documents."""
+"""Reading level of documents by a familiar-word formula calibrated on rated documents.
+
+A text is read once.  Its words are stored in a compressed table, and what follows, the list of familiar words and the
+formula's terms, is counted from that table.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +10,13 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossarium.functions.canonical import canonical_text
-from glossarium.sources.session import materialized, spread
+from glossarium.sources.session import materialized, spread, stored
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _ASCII_WORD = re.compile(r"[a-z]+(?:['-][a-z]+)*")
@@ -19,9 +24,9 @@ _BROKEN = re.compile(r"-(?<=[^\W\d_]-)[ \t]*\r?\n[ \t]*(?=[^\W\d_])")
 _STOP = re.compile(r"[.!?…]['\"”’)\]]*\s+|[.!?…]['\"”’)\]]*$")
 _ENDS = re.compile(r"[.!?;:,—–-][\"'”’)\]]*\s*$")
 _AND_THEN = re.compile(r",?\s+and\s+then\s+")
-# Words at most that a sentence counts for: texts without end marks would seem all one sentence.
-_LONGEST = 45
-_APART, STEP, UNFITTED = 0.4, 0.1, (1.0, 3.8, 0.6, 0.4)
+# Sentences whose share of unfamiliar words is further from the middle one's are no part of the body; weights of the
+# terms where no ratings are given.
+_APART, UNFITTED = 0.4, (0.3, 3.0, 0.4)
 _NUMBERS = re.compile(r"^[\s0-9.()\-]+|[0-9]+")
 
 
@@ -87,55 +92,100 @@ def repeated_lines(texts: DataFrame, above: float = 0.004) -> DataFrame:
     return line.withColumn("id", F.xxhash64("line")).join(F.broadcast(found.select("id")), "id", "left_semi").select("line").distinct()
 
 
-def familiar_words(texts: DataFrame, ratings: DataFrame, top_level: float = 3.0, share: float = 0.01, most: int = 3000) -> DataFrame:
-    """(word, n_docs): the high-frequency list: words in at least `share` of the documents that raters put at top_level
-    or below, the `most` most frequent of them (the length of the classical list, and the bound of what is shipped)."""
-    easy = texts.join(ratings.where(F.col("level") <= top_level).select("doc"), "doc", "left_semi")
-    lower = F.lower(F.regexp_replace("text", r"-(?<=\p{L}-)[ \t]*\r?\n[ \t]*(?=\p{L})", ""))
-    per_doc = easy.select("doc", F.array_distinct(F.regexp_extract_all(lower, F.lit(r"(\p{L}+(?:['’-]\p{L}+)*)"), F.lit(1))).alias("words"))
-    counts = per_doc.select(F.explode_outer("words").alias("word")).where("word is not null").groupBy("word").agg(F.count(F.lit(1)).alias("n_docs"))
-    n = easy.count()
-    return counts.where(F.col("n_docs") >= share * n).orderBy(F.desc("n_docs"), "word").limit(most)
-
-
-def reading_features(texts: DataFrame, familiar: set[str], boilerplate: set[str]) -> DataFrame:
-    """(doc, n_words, unfamiliar, length): words of the whole text, and, of its body without boilerplate and inserted
-    passages, the share of words outside the list and the mean number of words in a sentence.
+def parsed_texts(texts: DataFrame, boilerplate: set[str]) -> DataFrame:
+    """(doc, n_words, length, words, sizes): the number of words of the whole text, and, of its body, the mean number of
+    words in a sentence, all words, and the number of words of each sentence.  A text of boilerplate only is its body."""
+    shared = texts.sparkSession.sparkContext.broadcast(frozenset(boilerplate))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        boiler = shared.value
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                n_words, words, sizes, ends, cuts = [], [], [], [0], [0]
+                for t in batch.column(1).to_pylist():
+                    t = canonical_text(t)
+                    body, dropped = _parsed(t, boiler)
+                    n_words.append(dropped + sum(map(len, body)))
+                    for s in body or _parsed(t, frozenset())[0]:
+                        words += s
+                        sizes.append(len(s))
+                    ends.append(len(words))
+                    cuts.append(len(sizes))
+                count, sentences = np.diff(ends), np.diff(cuts)
+                length = pa.array(count / np.maximum(sentences, 1), mask=sentences == 0)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words, pa.string())), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(sizes, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), length, *lists], names=["doc", "n_words", "length", "words", "sizes"])
+
+    return texts.mapInArrow(parse, f"doc {texts.schema['doc'].dataType.simpleString()}, n_words long, length double, words array<string>, sizes array<int>")
+
+
+def word_frequencies(parsed: DataFrame, short: float, long: float) -> DataFrame:
+    """(word, n_docs, n_short, n_long): in how many documents a word is, and in how many whose mean sentence has `short`
+    words at most, or `long` at least.  Documents are counted by batches before the shuffle."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, length = batch.column(1), batch.column(0).to_numpy(zero_copy_only=False)
+            words = pc.dictionary_encode(lists.flatten())
+            if not len(words):
+                continue
+            doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy())
+            pair = np.unique(doc * len(words.dictionary) + words.indices.to_numpy())
+            doc, word = pair // len(words.dictionary), pair % len(words.dictionary)
+            n = [np.bincount(word, w, len(words.dictionary)).astype(np.int64) for w in (None, (length <= short)[doc], (length >= long)[doc])]
+            yield pa.RecordBatch.from_arrays([words.dictionary, *map(pa.array, n)], names=["word", "n_docs", "n_short", "n_long"])
+
+    counts = parsed.where("length is not null").select("length", "words").mapInArrow(count, "word string, n_docs long, n_short long, n_long long")
+    return counts.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n_docs", "n_short", "n_long")))
+
+
+def familiar_words(parsed: DataFrame, share: float = 0.01) -> DataFrame:
+    """(word, n_docs, n_short, n_long): the high-frequency list: words in at least `share` of all documents that are at
+    least as frequent in the quarter with the shortest sentences as in that with the longest.  So terms that are frequent
+    only because much of the corpus is learned stay out, whoever rated what.  The list has as many words at most as a
+    document has different ones on average, divided by `share`."""
+    with_words = parsed.where("length is not null")
+    short, long = with_words.agg(F.percentile_approx("length", [0.25, 0.75], 10_000)).first()[0] or (0.0, 0.0)
+    n = with_words.agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col("length") <= short).alias("short"), F.count_if(F.col("length") >= long).alias("long")).first()
+    counts = word_frequencies(parsed, short, long).where(F.col("n_docs") >= share * n.docs)
+    return counts.where(F.col("n_short") * F.lit(max(n.long, 1)) >= F.col("n_long") * F.lit(max(n.short, 1)))
+
+
+def reading_features(parsed: DataFrame, familiar: set[str]) -> DataFrame:
+    """(doc, n_words, unfamiliar, length): words of the whole text, and, of its body without inserted passages, the share
+    of words outside the list and the mean number of words in a sentence.
 
     Inserted passages are told by being unlike the rest: sentences whose share of unfamiliar words is more than 0.4
-    away from that of the middle word's sentence are left out.  Documents without words in the body have nulls."""
-    shared = texts.sparkSession.sparkContext.broadcast((frozenset(familiar), frozenset(boilerplate)))
+    away from that of the middle word's sentence are left out.  Documents without words have nulls."""
+    shared = parsed.sparkSession.sparkContext.broadcast(pa.array(sorted(familiar), pa.string()))
 
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, boiler = shared.value
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for t in batch.text:
-                t = canonical_text(t)
-                body, dropped = _parsed(t, boiler)
-                n = dropped + sum(map(len, body))
-                body = body or sentences(t)
-                if not body:
-                    rows.append((n, None, None))
-                    continue
-                size = np.array([len(s) for s in body], float)
-                new = 1 - np.array([sum(map(known.__contains__, s)) for s in body], float) / size
-                order = np.argsort(new, kind="stable")
-                middle = new[order[np.searchsorted(np.cumsum(size[order]), size.sum() / 2)]]
-                keep = np.abs(new - middle) <= _APART
-                rows.append((n, float((new * size)[keep].sum() / size[keep].sum()), float(np.minimum(size[keep], _LONGEST).mean())))
-            out = pd.DataFrame(rows, columns=["n_words", "unfamiliar", "length"])
-            out.insert(0, "doc", batch.doc.to_numpy())
-            yield out
-
-    kind = texts.schema["doc"].dataType.simpleString()
-    return texts.mapInPandas(features, f"doc {kind}, n_words long, unfamiliar double, length double")
+            words, sizes = batch.column(2).flatten(), batch.column(3).flatten().to_numpy().astype(float)
+            per_doc = pc.list_value_length(batch.column(3)).to_numpy()
+            unfamiliar, length = np.full(batch.num_rows, np.nan), np.full(batch.num_rows, np.nan)
+            if len(sizes):
+                new = pc.is_null(pc.index_in(words, value_set=shared.value)).to_numpy(zero_copy_only=False).astype(float)
+                share = np.add.reduceat(new, np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)) / sizes
+                doc = np.repeat(np.arange(batch.num_rows), per_doc)
+                order = np.lexsort((share, doc))
+                total = np.bincount(doc, sizes, batch.num_rows)
+                middle = np.searchsorted(np.cumsum(sizes[order]), np.cumsum(total) - total / 2)
+                keep = (np.abs(share - share[order][np.minimum(middle, len(order) - 1)][doc]) <= _APART).astype(float)
+                kept = np.bincount(doc, keep * sizes, batch.num_rows)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    unfamiliar, length = np.bincount(doc, keep * sizes * share, batch.num_rows) / kept, kept / np.bincount(doc, keep, batch.num_rows)
+            none = per_doc == 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(unfamiliar, mask=none), pa.array(length, mask=none)], names=["doc", "n_words", "unfamiliar", "length"])
+
+    kind = parsed.schema["doc"].dataType.simpleString()
+    return parsed.select("doc", "n_words", "words", "sizes").mapInArrow(features, f"doc {kind}, n_words long, unfamiliar double, length double")
 
 
 def _terms() -> list:
-    """The formula's terms: 1, share of unfamiliar words, ln of sentence length, and whether the share is above 0.1; the
-    classical formula also adds a constant beyond a share of difficult words."""
-    return [F.lit(1.0), F.col("unfamiliar"), F.ln("length"), (F.col("unfamiliar") > STEP).cast("double")]
+    """The formula's terms: 1, the share of unfamiliar words, and the logarithm of the mean sentence length."""
+    return [F.lit(1.0), F.col("unfamiliar"), F.ln("length")]
 
 
 def fitted_weights(features: DataFrame, ratings: DataFrame) -> list[float]:
@@ -143,31 +193,41 @@ def fitted_weights(features: DataFrame, ratings: DataFrame) -> list[float]:
     driver.  Where the ratings can't tell the terms apart, as without any, the weights are UNFITTED."""
     x = features.where("unfamiliar is not null").join(ratings, "doc")
     cols = [*_terms(), F.col("level")]
-    s = x.agg(*(F.coalesce(F.sum(p * q), F.lit(0.0)) for i, p in enumerate(cols) for q in cols[i:])).first()
-    m, at = np.zeros((5, 5)), 0
-    for i in range(5):
-        for j in range(i, 5):
-            m[i, j] = m[j, i] = s[at]
-            at += 1
-    if np.linalg.matrix_rank(m[:4, :4]) < 4:
+    s = iter(x.agg(*(F.coalesce(F.sum(p * q), F.lit(0.0)) for i, p in enumerate(cols) for q in cols[i:])).first())
+    n = len(cols)
+    m = np.zeros((n, n))
+    for i in range(n):
+        for j in range(i, n):
+            m[i, j] = m[j, i] = next(s)
+    if np.linalg.matrix_rank(m[:-1, :-1]) < n - 1:
         return list(UNFITTED)
-    return [float(w) for w in np.linalg.solve(m[:4, :4], m[:4, 4])]
+    return [float(w) for w in np.linalg.solve(m[:-1, :-1], m[:-1, -1])]
+
+
+def _corpus(docs: DataFrame, key: str, text: str, lang: str, language: str) -> DataFrame:
+    """parsed_texts() of the documents of a language, stored."""
+    rows = docs.where(F.lower(docs[lang]).startswith(language))
+    texts = spread(rows.select(rows[key].alias("doc"), rows[text].alias("text")).where("doc is not null and text is not null"))
+    return stored(parsed_texts(texts, {canonical_text(r.line) for r in repeated_lines(texts).collect()}))
+
 
+def corpus_words(docs: DataFrame, key: str, text: str, lang: str, language: str = "en") -> DataFrame:
+    """familiar_words() of the documents of a language."""
+    return familiar_words(_corpus(docs, key, text, lang, language))
 
-def reading_levels(docs: DataFrame, key: str, text: str, lang: str, ratings: DataFrame, language: str = "en", top_level: float = 3.0) -> DataFrame:
+
+def reading_levels(docs: DataFrame, key: str, text: str, lang: str, ratings: DataFrame, language: str = "en") -> DataFrame:
     """(key, n_words, unfamiliar, length, score, level) of each document whose lang starts with `language` in any case.
 
-    The score is a weighted sum of the share of unfamiliar words, the logarithm of the mean sentence length and a step,
-    and level is the score rounded to 1..5.  The list of familiar words and boilerplate come from document frequencies over all documents of the language;
-    the weights from all ratings: (doc, level), several ratings of a document being averaged.  Null keys and texts give no row;
-    a text without words has a null score and level; repeated keys each give their rows; further columns are ignored.
+    The score is a weighted sum of the share of unfamiliar words and the logarithm of the mean sentence length, and level
+    is the score rounded to 1..5.  Boilerplate and the list of familiar words come from document frequencies over all
+    documents of the language, the weights from all ratings: (doc, level), several ratings of a document being averaged.
+    Null keys and texts give no row; a text without words has a null score and level; repeated keys each give their rows;
+    further columns are ignored.
     """
-    rows = docs.where(F.lower(docs[lang]).startswith(language))
-    texts = spread(rows.select(rows[key].alias("doc"), rows[text].alias("text")).where("doc is not null and text is not null"))
+    parsed = _corpus(docs, key, text, lang, language)
     mean = ratings.select("doc", "level").dropna().groupBy("doc").agg(F.avg("level").alias("level"))
-    boilerplate = {r.line for r in repeated_lines(texts).collect()}
-    familiar = {r.word for r in familiar_words(texts, mean, top_level).collect()}
-    features = materialized(reading_features(texts, familiar, boilerplate))
+    features = materialized(reading_features(parsed, {r.word for r in familiar_words(parsed).collect()}))
     score = sum((F.lit(w) * t for w, t in zip(fitted_weights(features, mean), _terms())), F.lit(0.0))
     level = F.when(F.col("score").isNotNull(), F.least(F.lit(5), F.greatest(F.lit(1), F.round("score").cast("int"))))
     return features.withColumn("score", score).withColumn("level", level).withColumnRenamed("doc", key)
