@@ -40,12 +40,13 @@ LOOKALIKES = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
     "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
     # Armenian
-    "օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "զ": "q", "ӊ": "n",
+    "օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "զ": "q",
 }
 
 LATIN = "A-Za-zªºÀ-ÖØ-öø-ɏɐ-ʯḀ-ỿ"
 _VISIBLE_FORMATS = (range(0x600, 0x606), range(0x6DD, 0x6DE), range(0x70F, 0x710), range(0x890, 0x892), range(0x8E2, 0x8E3), range(0x110BD, 0x110BE), range(0x110CD, 0x110CE), range(0x13430, 0x13460))
 _LINE_MARKS = "\t\n\x0b\x0c\r\x85"
+_ODD = re.compile(r"[^\t\n\x0b\x0c\r -~]")
 
 
 @lru_cache(maxsize=1)
@@ -131,12 +132,19 @@ def _segment(match: re.Match) -> str:
     return unicodedata.normalize("NFC", text)
 
 
+@lru_cache(maxsize=1)
+def _unstable_set() -> frozenset[str]:
+    single, marks = _tables()
+    return frozenset(map(chr, {*single, *marks})) | frozenset(LOOKALIKES)
+
+
 def canonical_text(text: str | None) -> str | None:
     """The consistent form of one text; the same rule that canonical_form() applies to a column."""
-    unstable, run, *_ = _patterns()
-    if not text or not unstable.search(text):
+    # few characters of a text are outside plain ASCII: only these are looked up
+    if not text or _unstable_set().isdisjoint(_ODD.findall(text)):
         return text
-    return " ".join(run.sub(_segment, part) if unstable.search(part) else part for part in text.split(" "))
+    unstable, run, *_ = _patterns()
+    return " ".join(run.sub(_segment, part) if not (part.isascii() and part.isprintable()) and unstable.search(part) else part for part in text.split(" "))
 
 
 def _splice(text: Column) -> Column:
