@@ -27,11 +27,11 @@ _AND_THEN = re.compile(r",?\s+and\s+then\s+")
 # Sentences whose share of unfamiliar words is further from the middle one's are no part of the body; weights of the
 # terms where no ratings are given.
 _APART, UNFITTED = 0.4, (0.3, 3.0, 0.4)
-_NUMBERS = re.compile(r"^[\s0-9.()\-]+|[0-9]+")
+_NUMBERS, _DIGIT = re.compile(r"^[\s0-9.()\-]+|[0-9]+"), re.compile("[0-9]")
 
 
 def _line(text: str) -> str:
-    return _NUMBERS.sub("", text).strip()
+    return text if text[:1].isalpha() and not _DIGIT.search(text) else _NUMBERS.sub("", text).strip()
 
 
 def sentences(text: str, boilerplate: frozenset[str] = frozenset()) -> list[list[str]]:
