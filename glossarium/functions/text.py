@@ -43,10 +43,22 @@ def shares_run(a: Column, b: Column, n: int = 3) -> Column:
 
 
 def common_run(a: Column, b: Column) -> Column:
-    """INT: length of the longest run of characters that both words have."""
-    lengths = F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1)))
-    one = lambda n: F.when(F.exists(F.sequence(F.lit(1), F.greatest(F.length(a) - n + 1, F.lit(1))), lambda i: F.contains(b, F.substring(a, i, n))), n).otherwise(0)
-    return F.when((F.length(a) > 0) & (F.length(b) > 0), F.array_max(F.transform(lengths, one))).otherwise(0)
+    """INT: length of the longest run of characters that both words have.  Lengths are tried from 1 on, and none after
+    the first that isn't there."""
+    starts = lambda n: F.sequence(F.lit(1), F.greatest(F.length(a) - n + 1, F.lit(1)))
+    longer = lambda run, n: F.when((run == n - 1) & (n <= F.length(a)) & F.exists(starts(n), lambda i: F.contains(b, F.substring(a, i, n))), n).otherwise(run)
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(F.length(a), F.length(b)), F.lit(1))), F.lit(0), longer)
+
+
+def run_text(a: Column, b: Column, run: Column) -> Column:
+    """The run of that many characters that both words have, of several the one that stands first in a; empty for 0."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(a) - run + 1, F.lit(1)))
+    return F.when(run > 0, F.substring(a, F.get(F.filter(starts, lambda i: F.contains(b, F.substring(a, i, run))), F.lit(0)), run)).otherwise("")
+
+
+def run_place(word: Column, run: Column) -> Column:
+    """Where the run stands in the word: start (which wins), end or middle; null for an empty run."""
+    return F.when(run == "", None).when(F.startswith(word, run), "start").when(F.endswith(word, run), "end").otherwise("middle")
 
 
 def edit_share(a: Column, b: Column) -> Column:

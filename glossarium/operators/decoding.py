@@ -1,12 +1,7 @@
-"""Native decoding: ranked next words from counts of word pairs, and beam search behind a small protocol."""
+"""Ranked next words from counts of word pairs."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Protocol
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,62 +19,3 @@ def top_next(pairs: DataFrame, k: int) -> DataFrame:
     """(word, next, n, rank): the k most frequent followers of each word, ties by the alphabet."""
     w = Window.partitionBy("word").orderBy(F.desc("n"), "next")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-class Backend(Protocol):
-    """What a decoder must offer: texts of its tokens, which of them end a word, and scores of the next token."""
-
-    texts: list[str]
-    end: int
-
-    def logits(self, tokens: list[int]) -> np.ndarray: ...
-
-
-def beam_words(backend: Backend, prompt: list[int], beams: int, most_tokens: int) -> list[tuple[str, float]]:
-    """(word, score) of single words that may follow the prompt, best first, each once.
-
-    The first token must start a word (a blank and letters); later ones continue it, and what other tokens would get
-    goes to the end of the word.  Beams complete at the end token; those open at the last step complete as they are."""
-    start = np.array([t.startswith(" ") and t[1:].isalpha() for t in backend.texts])
-    inside = np.array([t.isalpha() for t in backend.texts])
-    active, done = [((), 0.0)], []
-    for step in range(most_tokens):
-        grown = []
-        for tokens, score in active:
-            x = np.asarray(backend.logits([*prompt, *tokens]), float)
-            p = np.exp(x - x.max())
-            p /= p.sum()
-            if step == 0:
-                p = np.where(start, p, 0.0)
-                p /= max(p.sum(), 1e-10)
-            else:
-                rest = p[~inside].sum()
-                p = np.where(inside, p, 0.0)
-                p[backend.end] = rest + 1e-10
-            grown += [((*tokens, int(i)), score + float(np.log(p[i]))) for i in np.flatnonzero(p > 0)]
-        grown.sort(key=lambda g: -g[1])
-        active = []
-        for tokens, score in grown[:beams]:
-            (done if tokens[-1] == backend.end else active).append((tokens, score))
-        if not active or len(done) >= beams:
-            break
-    words: dict[str, float] = {}
-    for tokens, score in sorted(done + active[: max(0, beams - len(done))], key=lambda g: -g[1]):
-        word = "".join(backend.texts[i] for i in tokens if i != backend.end).strip().lower()
-        if word.isalpha():
-            words.setdefault(word, score)
-    return list(words.items())
-
-
-def decode(prompts: DataFrame, backend: Backend, encode, key: str, text: str, k: int = 10, beams: int = 100, most_tokens: int = 20) -> DataFrame:
-    """(key, rank, word, score): the k best words for each prompt; the backend is shipped to the executors.  A null
-    prompt decodes as an empty one; repeated keys each give their rows."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(i, r + 1, w, s) for i, t in zip(batch.key, batch.text) for r, (w, s) in enumerate(beam_words(backend, encode(t or ""), beams, most_tokens)[:k])]
-            yield pd.DataFrame(rows, columns=["key", "rank", "word", "score"])
-
-    kind = prompts.schema[key].dataType.simpleString()
-    out = prompts.select(prompts[key].alias("key"), prompts[text].alias("text")).mapInPandas(run, f"key {kind}, rank int, word string, score double")
-    return out.withColumnRenamed("key", key)

@@ -69,22 +69,26 @@ def flag_kind(target: Column, word: Column, attested: Column) -> Column:
 
 def overlap_pairs(lists: DataFrame) -> DataFrame:
     """(id, a, b, run): pairs of words of one list that share a run of at least MIN_RUN characters, a before b in the
-    alphabet.  lists: (id, words ARRAY<STRING>), ten or so words each; runs are found once per distinct pair of words."""
-    w = lists.select("id", F.explode_outer(F.array_distinct(F.transform("words", norm))).alias("w")).where(F.length("w") >= MIN_RUN)
-    pairs = w.alias("x").join(w.alias("y"), (F.col("x.id") == F.col("y.id")) & (F.col("x.w") < F.col("y.w"))).select("x.id", F.col("x.w").alias("a"), F.col("y.w").alias("b"))
-    runs = pairs.select("a", "b").distinct().where(shares_run(F.col("a"), F.col("b"), MIN_RUN)).withColumn("run", common_run(F.col("a"), F.col("b")))
+    alphabet.  lists: (id, words ARRAY<STRING>), ten or so words each; pairs are formed inside the row, and runs are found
+    once per distinct pair of words."""
+    words = F.array_sort(F.array_distinct(F.filter(F.transform("words", norm), lambda w: F.length(w) >= MIN_RUN)))
+    later = lambda i: F.slice("w", i + 2, F.greatest(F.size("w") - i - 1, F.lit(0)))
+    linked = F.flatten(F.transform("w", lambda a, i: F.transform(later(i), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    pairs = lists.select("id", words.alias("w")).select("id", F.explode_outer(linked).alias("p")).where("p is not null").select("id", "p.a", "p.b")
+    runs = pairs.groupBy("a", "b").agg(F.lit(1).alias("one")).where(shares_run(F.col("a"), F.col("b"), MIN_RUN)).select("a", "b", common_run(F.col("a"), F.col("b")).alias("run"))
     return pairs.join(runs, ["a", "b"]).select("id", "a", "b", "run")
 
 
-def component_labels(words: Column, rounds: int = 9) -> Column:
+def component_labels(words: Column) -> Column:
     """ARRAY<INT>: for each word of a short list, the smallest place in its component of the graph whose edges are
-    shared runs, found by spreading labels inside the row; words under MIN_RUN letters stand alone."""
+    shared runs, found by spreading labels inside the row, as many rounds as a chain of all words takes; words under
+    MIN_RUN letters stand alone."""
     n = F.size(words)
     places = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
     linked = lambda i, j: (i == j) | (F.length(F.get(words, i)) >= MIN_RUN) & (F.length(F.get(words, j)) >= MIN_RUN) & shares_run(F.get(words, i), F.get(words, j), MIN_RUN)
     near = F.transform(places, lambda i: F.filter(places, lambda j: linked(i, j)))
     spread = lambda acc, _: F.struct(acc["near"].alias("near"), F.transform(acc["near"], lambda js: F.array_min(F.transform(js, lambda j: F.get(acc["labels"], j)))).alias("labels"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(near.alias("near"), places.alias("labels")), spread)["labels"]
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.struct(near.alias("near"), places.alias("labels")), spread)["labels"]
 
 
 def form_groups(lists: DataFrame) -> DataFrame:
@@ -116,3 +120,19 @@ def edge_ngrams(words: DataFrame, shortest: int = 2, longest: int = 7, n: int |
     grams = parts.select(F.explode(F.array(F.concat(F.lit("^"), F.left("w", "k")), F.concat(F.right("w", "k"), F.lit("$")))).alias("gram"))
     g = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n_words"))
     return g.withColumn("surprisal", -F.log2(F.col("n_words") / F.lit(float(max(n, 1)))))
+
+
+def inner_ngrams(words: DataFrame, shortest: int = 2, longest: int = 7) -> DataFrame:
+    """(gram, n_words): in how many distinct words each part of 2 to 7 letters occurs at any place, the edges included,
+    written with '~'; the words of edge_ngrams()."""
+    w = letter_words(words)
+    parts = lambda k: F.when(F.length("w") >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.length("w") - k + 1, F.lit(1))), lambda i: F.substring("w", i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    grams = F.array_distinct(F.flatten(F.array(*(parts(k) for k in range(shortest, longest + 1)))))
+    return w.select(F.explode_outer(grams).alias("gram")).where("gram is not null").groupBy(F.concat(F.lit("~"), F.col("gram")).alias("gram")).agg(F.count(F.lit(1)).alias("n_words"))
+
+
+def top_overlaps(pairs: DataFrame, most: int = 24) -> DataFrame:
+    """(id, place, a, b, run): the pairs of overlap_pairs() with the longest runs of each list, `most` at most, ties by
+    the alphabet; a list of ten words has 45 pairs at most."""
+    best = pairs.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("run")).alias("r"), "a", "b"))), 1, most).alias("x"))
+    return best.select("id", F.posexplode("x").alias("at", "x")).select("id", (F.col("at") + 1).alias("place"), "x.a", "x.b", (-F.col("x.r")).alias("run"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossarium.functions.text import shares_run
+from glossarium.functions.stats import exact_binomial, paired_log_ratio
+from glossarium.functions.text import letter_tokens, shares_run
 
 MIN_CHARS, MIN_SHARE = 40, 0.6
 
@@ -29,11 +30,86 @@ def without_clauses(text: Column, word: Column) -> Column:
     return F.array_join(kept, ", ")
 
 
+def is_subsequence(inner: Column, outer: Column) -> Column:
+    """True if all elements of one array occur in the other in the same order: one walk over the outer array."""
+    met = F.aggregate(outer, F.lit(0), lambda i, w: F.when(F.get(inner, i) == w, i + 1).otherwise(i))
+    return met == F.size(inner)
+
+
+def without_evidence(text: Column, evidence: Column, word: Column) -> tuple[Column, Column]:
+    """(edited text, how) without what recruits the word: the phrase quoted as evidence where the text has it verbatim,
+    and otherwise the parts between commas, semicolons, colons, 'and' and 'but' that hold the word.  An edit that leaves
+    less than 40 characters or 60 % of the text is none: null and 'no_clean_deletion'.  Null evidence is never found."""
+    squeeze = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    kept = lambda c: (F.length(c) >= MIN_CHARS) & (F.length(c) >= MIN_SHARE * F.length(text))
+    quote = F.trim(evidence)
+    at = F.instr(F.lower(text), F.lower(quote))
+    phrase = F.when((quote != "") & (at > 0), squeeze(F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + F.length(quote), F.length(text)))))
+    parts = F.split(F.regexp_replace(text, r"([,;:]|\band\b|\bbut\b)", "\u0001$1\u0001"), "\u0001")
+    rest = squeeze(F.array_join(F.filter(parts, lambda p: ~F.rlike(p, whole_word(word))), ""))
+    by_phrase, by_part = F.coalesce(kept(phrase), F.lit(False)), F.coalesce((rest != text) & kept(rest), F.lit(False))
+    return F.when(by_phrase, phrase).when(by_part, rest), F.when(by_phrase, "evidence_phrase").when(by_part, "clause_fallback").otherwise("no_clean_deletion")
+
+
 def deletion_status(before: Column, after: Column, word: Column) -> Column:
-    """The first reason against a deletion: donor_survives, punctuation_artifact, empty, too_much_removed; or ok."""
+    """The first reason against a deletion: donor_survives, punctuation_artifact, empty, not_a_subsequence (words that
+    were put in or moved), too_much_removed; or ok."""
     low = F.contains(F.lower(after), F.lower(word))
     short = (F.length(after) < MIN_CHARS) | (F.length(after) < MIN_SHARE * F.length(before))
-    return F.when(low, "donor_survives").when(after.rlike("[,;:][A-Za-z]"), "punctuation_artifact").when(after == "", "empty").when(short, "too_much_removed").otherwise("ok")
+    moved = ~is_subsequence(letter_tokens(after), letter_tokens(before))
+    return F.when(low, "donor_survives").when(after.rlike("[,;:][A-Za-z]"), "punctuation_artifact").when(after == "", "empty").when(moved, "not_a_subsequence").when(short, "too_much_removed").otherwise("ok")
+
+
+def doubles_a_word(text: Column) -> Column:
+    """True if a word stands twice in a row, in any case."""
+    return text.rlike(r"(?iU)\b(\w+)\s+\1\b")
+
+
+def placebo_words(rows: DataFrame, lexicon: DataFrame, stop_docs: float = 0.5) -> DataFrame:
+    """(row_id, placebo): the word of a prompt that an edit beside the donor replaces: a known word of four letters or
+    more that is no stop word, isn't the donor and shares no three letters in a row with donor or target; of these the
+    one nearest to the donor in log10 frequency, ties by the alphabet.  rows: (row_id, target, donor, prefix);
+    lexicon: (word, n_docs, all_docs)."""
+    words = F.array_distinct(F.filter(letter_tokens(F.col("prefix")), lambda w: (F.length(w) >= 4) & (w != F.col("donor"))))
+    x = rows.select("row_id", "target", "donor", F.explode_outer(words).alias("word")).where("word is not null")
+    x = x.where(~shares_run(F.col("word"), F.col("target")) & ~shares_run(F.col("word"), F.col("donor")))
+    known = lexicon.select("word", F.col("n_docs").alias("_n")).where(F.col("_n") <= stop_docs * lexicon["all_docs"])
+    x = x.join(known, "word").join(lexicon.select(F.col("word").alias("donor"), F.col("n_docs").alias("_d")), "donor", "left")
+    gap = F.round(F.abs(F.log10(F.col("_n") + 1) - F.log10(F.coalesce("_d", F.lit(0)) + 1)), 9)
+    return x.groupBy("row_id").agg(F.min(F.struct(gap.alias("gap"), "word")).alias("b")).select("row_id", F.col("b.word").alias("placebo"))
+
+
+def edit_arms(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(row_id, arm, word, edited, status), three rows for each prompt with a donor: the donor substituted by the word
+    nearest in frequency, the donor deleted with what holds it, and, as the placebo that tells what any edit does, an
+    unrelated word substituted.  Edits that aren't clean have a null text and their reason as status, others 'ok'.
+
+    rows: (row_id, target, donor, prefix); lexicon: (word, n_docs, all_docs)."""
+    x = rows.join(placebo_words(rows, lexicon), "row_id", "left")
+    words = x.select(F.explode(F.array("donor", "placebo")).alias("word")).where("word is not null").distinct()
+    near = nearest_by_frequency(words, lexicon.select("word", F.col("n_docs").alias("n"))).select("word", "substitute")
+    for c in ("donor", "placebo"):
+        x = x.join(near.select(F.col("word").alias(c), F.col("substitute").alias(f"for_{c}")), c, "left")
+    text, target = F.col("prefix"), F.col("target")
+
+    def swap(name: str, word: str, by: str) -> Column:
+        edited = substituted(text, F.col(word), F.col(by))
+        reason = F.when(F.col(word).isNull(), "no_candidate").when(F.col(by).isNull(), "no_substitute").when(shares_run(F.col(by), target), "overlaps_target").when(doubles_a_word(edited), "adjacent_duplicate").otherwise("ok")
+        return F.struct(F.lit(name).alias("arm"), F.col(word).alias("word"), F.when(reason == "ok", edited).alias("edited"), reason.alias("status"))
+
+    rest, how = without_evidence(text, F.lit(None).cast("string"), F.col("donor"))
+    found = F.when(rest.isNull(), how).otherwise(deletion_status(text, rest, F.col("donor")))
+    deleted = F.struct(F.lit("donor_deleted").alias("arm"), F.col("donor").alias("word"), F.when(found == "ok", rest).alias("edited"), found.alias("status"))
+    arms = F.array(swap("donor_substituted", "donor", "for_donor"), deleted, swap("placebo", "placebo", "for_placebo"))
+    return x.select("row_id", F.explode_outer(arms).alias("a")).select("row_id", "a.*")
+
+
+def arm_effects(read: DataFrame) -> DataFrame:
+    """(arm, n, before, after, lost, gained, lambda, p): what the clean edits of each arm do to recall, with the paired
+    log ratio and exact test of losses against gains.  read: (arm, before BOOLEAN, after BOOLEAN)."""
+    b, a = F.col("before"), F.col("after")
+    g = read.groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.count_if(b).alias("before"), F.count_if(a).alias("after"), F.count_if(b & ~a).alias("lost"), F.count_if(~b & a).alias("gained"))
+    return g.withColumn("lambda", paired_log_ratio(F.col("lost"), F.col("gained"))).withColumn("p", exact_binomial(F.col("lost"), F.col("gained")))
 
 
 def screened(pairs: DataFrame, lexicon: DataFrame, band: float = 1.5) -> DataFrame:
@@ -67,8 +143,11 @@ def nearest_by_frequency(words: DataFrame, counts: DataFrame, band: int = 150) -
     firsts = c.groupBy("len", "step", F.left("cand", F.lit(3)).alias("head")).agg(F.min("cand").alias("cand"))
     steps = firsts.groupBy("len", "step").agg(F.slice(F.array_sort(F.collect_list("cand")), 1, 2).alias("cands"))
     w = words.join(counts, "word").select("word", F.length("word").alias("len"), level.alias("level"), F.left("word", F.lit(3)).alias("head"))
+    # the steps of a length are joined by length and block of steps, so that no key holds all steps of a length
+    block = lambda c: F.floor(c / F.lit(band))
+    asked = w.select("len", "level", "head").distinct().withColumn("_block", F.explode(F.array(*(block(F.col("level")) + k for k in (-1, 0, 1)))))
     cand = F.get(F.filter("cands", lambda v: F.left(v, F.lit(3)) != F.col("head")), F.lit(0))
-    near = w.select("len", "level", "head").distinct().join(steps, "len").where(F.abs(F.col("step") - F.col("level")) <= band)
+    near = asked.join(steps.withColumn("_block", block(F.col("step"))), ["len", "_block"]).where(F.abs(F.col("step") - F.col("level")) <= band)
     near = near.select("len", "level", "head", F.abs(F.col("step") - F.col("level")).alias("gap"), cand.alias("cand")).where("cand is not null")
     best = near.groupBy("len", "level", "head").agg(F.min(F.struct("gap", "cand")).alias("b"))
     return w.join(best, ["len", "level", "head"]).select("word", F.col("b.cand").alias("substitute"), F.col("b.gap").alias("gap"))

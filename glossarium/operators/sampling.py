@@ -74,6 +74,13 @@ def shuffled(words: Column, key: Column, seed: int = 20260806) -> Column:
     return F.transform(F.array_sort(marked), lambda m: F.substring(m, F.lit(33), F.length(m)))
 
 
+def stride(items: DataFrame, key: str, n: int, seed: int = 20260815) -> DataFrame:
+    """n rows, or all if there are fewer, evenly spaced in draw order, with their place; key must be unique."""
+    rows = numbered(items.withColumn("_draw", draw_key(seed, key)), [], ["_draw"], draw_bucket(F.col("_draw")), "place").drop("_draw")
+    whole = items.agg(F.greatest(F.floor(F.count(F.lit(1)) / n), F.lit(1)).alias("_step"))
+    return rows.join(F.broadcast(whole)).where(F.pmod(F.col("place") - 1, F.col("_step")) == 0).drop("_step").orderBy("place").limit(n)
+
+
 def whole_items(rows: DataFrame, item: str, n: int, seed: int = 20260813) -> DataFrame:
     """All rows of n items, or of all if there are fewer: items are drawn, not rows.  Rows without an item are left out.
     The drawn keys, at most n, are what is broadcast."""

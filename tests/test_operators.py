@@ -1,14 +1,11 @@
 import json
 import random
-import sys
 
-import numpy as np
 import pytest
-from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from glossarium.functions import text
-from glossarium.operators import decoding, neighborhood, perturbation, predictions, records, sampling
+from glossarium.operators import neighborhood, perturbation, predictions, records, sampling
 from glossarium.plans.prefix import hashed_order, running_totals
 from glossarium.streaming.labels import compacted, daily_counts, label_stream
 
@@ -86,7 +83,7 @@ def test_samples(spark):
     assert drawn.count() == 20 and {r.c: r.short for r in short.collect()} == {"0": 0, "1": 0, "2": 10}
     quota = sampling.largest_remainder(spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", 1.0)], "k string, s double"), "k", "s", 10)
     assert {r.k: r.quota for r in quota.collect()} == {"a": 4, "b": 3, "c": 3}
-    pairs = sampling.permuted_pairs(df, "id", "id", shards=8).collect()
+    pairs = sampling.permuted_pairs(df, "id", "id").collect()
     assert sorted(r.other for r in pairs) == list(range(1000))
 
 
@@ -96,7 +93,7 @@ def test_records(spark):
     base = spark.createDataFrame([("a", 1), ("b", 2)], "id string, n int")
     assert {tuple(r) for r in records.upsert(base, spark.createDataFrame([("b", 9), ("c", 3)], "id string, n int"), "id").collect()} == {("a", 1), ("b", 9), ("c", 3)}
     sizes = [random.Random(1).randint(0, 40) for _ in range(300)]
-    got = records.shards(spark.createDataFrame(list(enumerate(sizes)), "id long, s int"), F.col("s"), "id", 100, block=17).collect()
+    got = records.shards(spark.createDataFrame(list(enumerate(sizes)), "id long, s int"), F.col("s"), "id", 100, parts=17).collect()
     assert all(r.shard == sum(sizes[: r.id]) // 100 for r in got)
 
 
@@ -106,27 +103,6 @@ def test_perturbation(spark):
     assert r.s == "The Bun, an bun; eclairs stay." and r.c == "eclairs stay."
 
 
-class Toy:
-    texts = [" cat", " dog", "s", "ter", "<eos>", " 123", "!", "x", " the", "z", "<bos>"]
-    end = 4
-    moves = {10: {0: 5, 1: 4, 8: 3}, 0: {2: 5, 4: 2}}
-
-    def logits(self, tokens):
-        x = np.full(len(self.texts), -10.0)
-        for i, v in self.moves.get(tokens[-1], {4: 5}).items():
-            x[i] = v
-        return x
-
-
-def test_toy_beam_search(spark):
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    got = decoding.beam_words(Toy(), [10], 10, 5)
-    assert {"cat", "cats", "dog", "the"} <= {w for w, _ in got} and len(got) == len({w for w, _ in got})
-    assert [s for _, s in got] == sorted((s for _, s in got), reverse=True)
-    rows = decoding.decode(spark.createDataFrame([(1, "x"), (2, None)], "k int, t string"), Toy(), lambda t: [10], "k", "t", k=3, beams=10, most_tokens=5).collect()
-    assert len(rows) == 6 and {r.rank for r in rows} == {1, 2, 3}
-
-
 def test_label_stream(spark, tmp_path):
     source, target = tmp_path / "log", str(tmp_path / "out")
     source.mkdir()
