@@ -147,6 +147,14 @@ def test_a_cut_text_says_nothing_on_its_own_end(spark):
     assert lost == {200, 201, 202}
 
 
+def test_thresholds_lie_where_few_texts_are(spark):
+    scores = [("end", "a", -1.2 - i % 5) for i in range(60)] + [("end", "a", 0.1 + i % 3) for i in range(60)] + [("end", "a", -0.45)] * 3
+    scores += [("start", "b", -0.1 - i % 2) for i in range(60)] + [("end", "small", -1.0), ("end", "small", 2.0)]
+    got = {(r.side, r.form): r.threshold for r in truncation.edge_thresholds(spark.createDataFrame(scores, "side string, form string, score double")).collect()}
+    assert got["end", "small"] == -0.5 and -1.1 < got["start", "b"] < -0.2
+    assert -1.1 < got["end", "a"] < -0.5 or -0.4 < got["end", "a"] < 0.1
+
+
 def test_lookalike_fields(spark):
     df = spark.createDataFrame([(1, "plain", "ａ|b", "k"), (2, None, "", "k"), (2, "o​ne", "c", "k")], "row_id int, text string, tops string, key string")
     got = {(r.row_id, r.field, r.consistent) for r in lookalike.lookalike_fields(df, "row_id", ["text", "tops"]).collect()}
