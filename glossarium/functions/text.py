@@ -79,3 +79,33 @@ def inflects(a: Column, b: Column) -> Column:
 def item_key(*parts: Column) -> Column:
     """A key by content: the first 12 hexadecimal digits of the MD5 of the parts."""
     return F.substring(F.md5(F.concat_ws("␟", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))), 1, 12)
+
+
+def mask_parts(text: Column, mask: str = "[MASK]") -> tuple[Column, Column]:
+    """(what stands before the first mask, what stands after it); both null where there is no mask, or no text."""
+    at = F.instr(text, mask)
+    return F.when(at > 0, F.substring(text, F.lit(1), at - 1)), F.when(at > 0, F.substring(text, at + len(mask), F.length(text)))
+
+
+# Endings of inflected words, in the order in which they are tried.
+ENDINGS = ("ings", "ing", "edly", "ed", "es", "s", "ly", "er", "est")
+
+
+def inflection(word: Column) -> Column:
+    """The first of ENDINGS that the word has and that leaves three letters or more; empty if none does."""
+    out = F.lit("")
+    for e in reversed(ENDINGS):
+        out = F.when(F.endswith(word, F.lit(e)) & (F.length(word) >= len(e) + 3), e).otherwise(out)
+    return out
+
+
+def inflected(word: Column, ending: Column) -> Column:
+    """ARRAY<STRING>, each once: how the word may look with the ending, the likeliest first: before a vowel without its
+    final e, plain, and with its last consonant doubled; with s or es plain, with es, and with ies for a final y."""
+    stem = F.substring(word, F.lit(1), F.length(word) - 1)
+    dropped = F.when(F.endswith(word, F.lit("e")), F.concat(stem, ending))
+    doubled = F.when(word.rlike("[^aeiou][aeiou][^aeiouwxy]$"), F.concat(word, F.right(word, F.lit(1)), ending))
+    ies = F.when(word.rlike("[^aeiou]y$"), F.concat(stem, F.lit("ies")))
+    vowel = F.array(dropped, F.concat(word, ending), doubled)
+    forms = F.when(ending.isin("ing", "ings", "ed", "er", "est"), vowel).when(ending.isin("s", "es"), F.array(F.concat(word, F.lit("s")), F.concat(word, F.lit("es")), ies)).otherwise(F.array(F.concat(word, ending)))
+    return F.array_distinct(F.filter(forms, lambda f: f.isNotNull()))

@@ -3,13 +3,16 @@ sheets, each with the same query for DuckDB beside it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossarium import sql
 from glossarium.functions.spelling import plain_key
-from glossarium.functions.text import common_run, letter_tokens, norm, prefix_before, run_place, run_text
+from glossarium.functions.text import ENDINGS, common_run, inflected, inflection, letter_tokens, norm, prefix_before, run_place, run_text
 from glossarium.operators import decoding, judged, neighborhood, outcomes, perturbation, predictions, sampling, scaffold
+from glossarium.operators.packed import with_slots
 from glossarium.queries import _BIGRAMS, _DONORS, _DRAW, _GROUPS, _HEADWORDS, _HIT, _LABELLED, _LEX, _NEAREST, _P, _PAIRS, _RUN, _edits, _labelled, _last_labels, _lexicon, query
 from glossarium.sources.session import spread, table
 
@@ -272,3 +275,108 @@ def q91_balanced_blind(spark: SparkSession, d: str) -> DataFrame:
 def q92_stride_pick(spark: SparkSession, d: str) -> DataFrame:
     """Fifty answers, evenly spaced in draw order."""
     return sampling.stride(table(spark, d, "judge_failures").select("failure_id"), "failure_id", 50).select("failure_id", "place")
+
+
+@query(f"""WITH {_DONORS}, i AS (SELECT sa.row_id, sa.target, len(stems) + len(affixes) > 0 AS scaffolded, CAST(p.is_future AS INT) AS is_future, {_DRAW.format(seed=20260816, key='sa.row_id')} AS draw FROM sa JOIN p USING (row_id) WHERE sa.target <> ''),
+ f AS (SELECT target, bool_or(scaffolded) AS scaffolded, min(row_id) AS row_id, min(draw) AS draw FROM i WHERE is_future = 1 GROUP BY target)
+ SELECT row_id, target, 'scaffolded' AS kind FROM f WHERE scaffolded UNION ALL SELECT row_id, target, 'control' FROM (SELECT * FROM f WHERE NOT scaffolded ORDER BY draw LIMIT 45)""")
+def q93_prompt_sheet(spark: SparkSession, d: str) -> DataFrame:
+    """A sheet of prompts: every later target that some prompt has a donor for, and 45 controls, or all, of the others."""
+    x = scaffold.with_donors(spread(_items(spark, d).where("target <> '' and is_future = 1"))).withColumn("_draw", sampling.draw_key(20260816, "row_id"))
+    f = x.groupBy("target").agg(F.bool_or(F.col("grade") != "NONE").alias("scaffolded"), F.min("row_id").alias("row_id"), F.min("_draw").alias("_draw"))
+    controls = f.where("not scaffolded").orderBy("_draw").limit(45)
+    part = lambda df, kind: df.select("row_id", "target", F.lit(kind).alias("kind"))
+    return part(f.where("scaffolded"), "scaffolded").unionByName(part(controls, "control"))
+
+
+@query("SELECT upper(trim(sheet, ' ')) AS sheet, coalesce(nullif(lower(trim(theme, ' ')), ''), 'none') AS theme, form, meaning, count(*) AS n FROM label_log GROUP BY ALL")
+def q94_label_audit(spark: SparkSession, d: str) -> DataFrame:
+    """How often each combination of labels was given."""
+    theme = F.coalesce(F.nullif(F.lower(F.trim("theme")), F.lit("")), F.lit("none"))
+    return table(spark, d, "label_log").groupBy(F.upper(F.trim("sheet")).alias("sheet"), theme.alias("theme"), "form", "meaning").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_P} SELECT model, target, md5(text) AS digest, min(row_id) AS row_id, count(*) AS n FROM p WHERE text IS NOT NULL GROUP BY ALL")
+def q95_once_per_triple(spark: SparkSession, d: str) -> DataFrame:
+    """The first row of each model, target and prompt, and how often these were loaded."""
+    p = predictions.predictions(spark, d).where("text is not null")
+    return p.groupBy("model", norm(F.col("target_word")).alias("target"), F.md5("text").alias("digest")).agg(F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH RECURSIVE {_JUDGED}, {_ANSWERED}, la AS (SELECT id, arg_max(form, line_no) FILTER (form IS NOT NULL) AS hand FROM label_log WHERE id IS NOT NULL GROUP BY id), x AS (SELECT hand, form_n, k FROM ja JOIN la ON la.id = ja.nbr_id, (VALUES (1), (2), (3), (5)) v(k) WHERE hand IS NOT NULL)
+ SELECT CAST(k AS INT) AS k, count(*) FILTER (hand >= k AND form_n >= k) AS both, count(*) FILTER (hand >= k AND form_n < k) AS hand_only, count(*) FILTER (hand < k AND form_n >= k) AS judge_only, count(*) FILTER (hand < k AND form_n < k) AS neither FROM x GROUP BY k""")
+def q96_hand_against_judge(spark: SparkSession, d: str) -> DataFrame:
+    """The labels given by hand against the judge's groups, swept over the size that counts."""
+    hand = _last_labels(spark, d).select(F.col("id").alias("nbr_id"), F.col("form").alias("hand")).where("hand is not null")
+    x = _judged_sizes(spark, d).where("how in ('object', 'list')").join(hand, "nbr_id").withColumn("k", F.explode(F.array(*map(F.lit, (1, 2, 3, 5)))))
+    h, j = F.col("hand") >= F.col("k"), F.col("form_n") >= F.col("k")
+    return x.groupBy("k").agg(F.count_if(h & j).alias("both"), F.count_if(h & ~j).alias("hand_only"), F.count_if(~h & j).alias("judge_only"), F.count_if(~h & ~j).alias("neither"))
+
+
+@query(f"""WITH {_P}, g AS (SELECT model, item_id, arg_min(words, row_id) AS a, arg_max(words, row_id) AS b, count(*) AS n FROM p WHERE item_id IS NOT NULL GROUP BY ALL)
+ SELECT model, CASE WHEN n = 1 THEN 'once' WHEN len(a) = 0 OR len(b) = 0 THEN 'missing' WHEN a = b THEN 'ok' ELSE 'bad' END AS status, count(*) AS n_items FROM g GROUP BY ALL""")
+def q97_decoded_again(spark: SparkSession, d: str) -> DataFrame:
+    """Whether an item that was decoded again gave the same list: the first decoding against the last."""
+    g = predictions.predictions(spark, d).where("item_id is not null").groupBy("model", "item_id").agg(F.min_by("words", "row_id").alias("a"), F.max_by("words", "row_id").alias("b"), F.count(F.lit(1)).alias("n"))
+    status = F.when(F.col("n") == 1, "once").when((F.size("a") == 0) | (F.size("b") == 0), "missing").when(F.col("a") == F.col("b"), "ok").otherwise("bad")
+    return g.groupBy("model", status.alias("status")).agg(F.count(F.lit(1)).alias("n_items"))
+
+
+@query(f"""WITH {sql.slots("neighborhood_key", "key_no", "stem_donors", "s2")}, {sql.slots("neighborhood_key", "key_no", "affix_donors", "s3")}, x AS (SELECT coalesce(route, '') AS recruitment, len(list_filter(coalesce(s2.slots, []), lambda v: v <> '')) > 0 AS stem, len(list_filter(coalesce(s3.slots, []), lambda v: v <> '')) > 0 AS affix, {_HIT} AS hit
+ FROM neighborhood_key k LEFT JOIN s2 ON s2.k = key_no LEFT JOIN s3 ON s3.k = key_no WHERE is_future IS NOT NULL)
+ SELECT CASE WHEN stem AND affix THEN 'both' WHEN stem THEN 'stem' WHEN affix THEN 'affix' ELSE 'none' END AS material, recruitment, count(*) AS n, CAST(sum(hit) AS BIGINT) AS hits, round(avg(hit), 9) AS rate FROM x GROUP BY ALL""")
+def q98_material(spark: SparkSession, d: str) -> DataFrame:
+    """Recall by what the donors share with the target and how they are recruited; rows without is_future are left out."""
+    x = spread(table(spark, d, "neighborhood_key").where("is_future is not null").select("stem_donors", "affix_donors", "route", "rank"))
+    for name, field in (("stem", "stem_donors"), ("affix", "affix_donors")):
+        x = with_slots(x, field).withColumn(name, F.exists(F.coalesce("slots", F.array().cast("array<string>")), lambda v: v != "")).drop("slots")
+    material = F.when(F.col("stem") & F.col("affix"), "both").when(F.col("stem"), "stem").when(F.col("affix"), "affix").otherwise("none")
+    hit = predictions.hit(F.col("rank"), 100)
+    return x.groupBy(material.alias("material"), F.coalesce("route", F.lit("")).alias("recruitment")).agg(F.count(F.lit(1)).alias("n"), F.sum(hit).alias("hits"), F.round(F.avg(hit), 9).alias("rate"))
+
+
+@query("""WITH y AS (SELECT 'postcutoff_words' AS source, year FROM postcutoff_words UNION ALL SELECT 'neighborhood_key', year FROM neighborhood_key UNION ALL SELECT 'documents', year FROM documents)
+ SELECT source, CAST(floor(year / 10) * 10 AS INT) AS decade, count(*) AS n FROM y WHERE year > 0 GROUP BY ALL""")
+def q99_years(spark: SparkSession, d: str) -> DataFrame:
+    """The years of all tables put together, by decade."""
+    parts = (table(spark, d, t).select(F.lit(t).alias("source"), "year") for t in ("postcutoff_words", "neighborhood_key", "documents"))
+    years = reduce(DataFrame.unionByName, parts).where("year > 0")
+    return years.groupBy("source", (F.floor(F.col("year") / 10) * 10).cast("int").alias("decade")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_LABELLED}, c AS (SELECT model, word, min(row_id) AS row_id FROM lab WHERE novelty = 'coined' GROUP BY ALL) SELECT model, word, row_id, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY row_id, word) AS place FROM c) WHERE place <= 18""")
+def q100_exhibits(spark: SparkSession, d: str) -> DataFrame:
+    """The first eighteen coined words of each model, each once, in the order in which they came."""
+    c = _labelled(spark, d).where("novelty = 'coined'").groupBy("model", "word").agg(F.min("row_id").alias("row_id"))
+    w = Window.partitionBy("model").orderBy("row_id", "word")
+    return c.withColumn("place", F.row_number().over(w)).where("place <= 18").select("model", "word", "row_id", "place")
+
+
+@query(rf"""WITH {_DONORS}, t AS (SELECT sa.row_id, list_distinct(list_concat(stems, affixes)) AS donors, [lower(w) for w in regexp_extract_all(right(p.prefix, 320), '[A-Za-z]+')] AS near FROM sa JOIN p USING (row_id) WHERE len(stems) + len(affixes) > 0)
+ SELECT row_id, CAST(len(donors) AS INT) AS n_donors, CAST(len([w for w in donors if list_contains(near, w)]) AS INT) AS n_near, CAST(len([w for w in near if list_contains(donors, w)]) AS INT) AS times FROM t""")
+def q101_donor_windows(spark: SparkSession, d: str) -> DataFrame:
+    """How many of a prompt's donors stand among its last 320 characters, and how often."""
+    x = scaffold.with_donors(spread(_items(spark, d))).withColumn("donors", F.array_union("stems", "affixes")).where(F.size("donors") > 0)
+    near = letter_tokens(F.right("prefix", F.lit(scaffold.PREFIX_CHARS)))
+    x = x.select("row_id", "donors", near.alias("near"))
+    return x.select("row_id", F.size("donors").alias("n_donors"), F.size(F.array_intersect("donors", "near")).alias("n_near"), F.size(F.filter("near", lambda w: F.array_contains("donors", w))).alias("times"))
+
+
+_ENDING_SQL = "CASE " + " ".join(f"WHEN ends_with(word, '{e}') AND length(word) >= {len(e) + 3} THEN '{e}'" for e in ENDINGS) + " ELSE '' END"
+
+
+@query(f"""WITH {_P}, {_LEX}, wanted AS (SELECT DISTINCT target AS word FROM p WHERE target <> ''), {_NEAREST}, e AS (SELECT word, substitute AS base, {_ENDING_SQL} AS ending FROM nf),
+ f AS (SELECT *, list_filter(CASE WHEN ending IN ('ing', 'ings', 'ed', 'er', 'est') THEN [CASE WHEN ends_with(base, 'e') THEN left(base, length(base) - 1) || ending END, base || ending, CASE WHEN regexp_matches(base, '[^aeiou][aeiou][^aeiouwxy]$') THEN base || right(base, 1) || ending END]
+  WHEN ending IN ('s', 'es') THEN [base || 's', base || 'es', CASE WHEN regexp_matches(base, '[^aeiou]y$') THEN left(base, length(base) - 1) || 'ies' END] ELSE [base || ending] END, lambda v: v IS NOT NULL) AS forms FROM e WHERE ending <> ''),
+ u AS (SELECT word, base, ending, forms, unnest(forms) AS form, unnest(range(len(forms))) AS pos FROM f), a AS (SELECT u.word, arg_min(form, pos) AS form FROM u JOIN lex ON lex.word = u.form GROUP BY u.word)
+ SELECT f.word, base, ending, coalesce(a.form, forms[1]) AS form, CAST(CASE WHEN a.form IS NULL THEN 0 ELSE 1 END AS INT) AS attested FROM f LEFT JOIN a ON a.word = f.word""")
+def q102_inflected_substitutes(spark: SparkSession, d: str) -> DataFrame:
+    """For each inflected target the word nearest in frequency with the same ending, written as the documents write it, or
+    in the likeliest way where they don't have it."""
+    lexicon = _lexicon(spark, d)
+    words = predictions.predictions(spark, d).select(norm(F.col("target_word")).alias("word")).where("word <> ''").distinct()
+    near = perturbation.nearest_by_frequency(words, lexicon.select("word", F.col("n_docs").alias("n"))).select("word", F.col("substitute").alias("base"), inflection(F.col("word")).alias("ending")).where("ending <> ''")
+    x = near.withColumn("forms", inflected(F.col("base"), F.col("ending")))
+    known = x.select("word", F.posexplode("forms").alias("pos", "form")).join(lexicon.select(F.col("word").alias("form")), "form").groupBy("word").agg(F.min_by("form", "pos").alias("known"))
+    x = x.join(known, "word", "left")
+    return x.select("word", "base", "ending", F.coalesce("known", F.get("forms", F.lit(0))).alias("form"), F.col("known").isNotNull().cast("int").alias("attested"))

@@ -103,6 +103,18 @@ def test_perturbation(spark):
     assert r.s == "The Bun, an bun; eclairs stay." and r.c == "eclairs stay."
 
 
+def test_masks_and_inflections(spark):
+    df = spark.createDataFrame([("a [MASK] b [MASK]",), ("no mask",), (None,)], "t string")
+    before, after = text.mask_parts(F.col("t"))
+    assert [tuple(r) for r in df.select(before, after).collect()] == [("a ", " b [MASK]"), (None, None), (None, None)]
+    words = {"weighings": "ings", "weighing": "ing", "markedly": "edly", "weighed": "ed", "boxes": "es", "acids": "s", "sing": "", "": ""}
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", text.inflection(F.col("w")).alias("e")).collect()
+    assert {r.w: r.e for r in got} == words
+    cases = [("bake", "ing", ["baking", "bakeing"]), ("stop", "ed", ["stoped", "stopped"]), ("city", "s", ["citys", "cityes", "cities"]), ("acid", "ly", ["acidly"])]
+    rows = spark.createDataFrame([(w, e) for w, e, _ in cases], "w string, e string").select(text.inflected(F.col("w"), F.col("e")).alias("f")).collect()
+    assert [r.f for r in rows] == [f for *_, f in cases]
+
+
 def test_label_stream(spark, tmp_path):
     source, target = tmp_path / "log", str(tmp_path / "out")
     source.mkdir()
