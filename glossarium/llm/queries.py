@@ -152,11 +152,21 @@ _TERMS = rf"""WITH {sql.slots("postcutoff_words", "row_id", "top_10_words")}, r
  f AS (SELECT field, gram, CAST(n AS INT) AS n, count(*) AS occurrences, count(DISTINCT k) AS records FROM g GROUP BY ALL),
  m AS (SELECT *, CASE WHEN records < {RARE_BELOW} THEN 'rare' WHEN records > {COMMON_ABOVE} * (SELECT count(*) FROM postcutoff_words) THEN 'common' END AS mark FROM f)"""
 _FORMS = " UNION ALL ".join(f"SELECT row_id, '{f}' AS field, {f} AS original, {sql.consistent(f)} AS consistent FROM postcutoff_words WHERE {f} IS NOT NULL" for f in ("text", "top_10_words"))
+
+
+def _shingles(source: str, key: str) -> str:
+    """The eight-word windows of a table's texts, in DuckDB."""
+    whole = rf"regexp_replace({sql.consistent('text')}, '(\p{{L}})-[ \t]*\r?\n[ \t]*(\p{{L}})', '\1\2', 'g')"
+    words = rf"regexp_extract_all(lower({whole}), '[\p{{L}}\p{{N}}]+')"
+    return f"SELECT {key}, unnest([array_to_string(w[i:i + 7], ' ') for i in range(1, len(w) - 6)]) AS gram FROM (SELECT {key}, {words} AS w FROM {source} WHERE text IS NOT NULL)"
+
+
 #: The others can't be said in SQL (models, walks, tokenizers); they are tested by brute force.
 ORACLES: dict[str, str] = {
     "p1_found": _TERMS + " SELECT field, gram[1] AS term, mark FROM m WHERE n = 1 AND mark IS NOT NULL",
     "p1_frequencies": _TERMS + " SELECT field, array_to_string(gram, ' | ') AS term, n, occurrences, records, mark FROM m WHERE n = 1 OR occurrences > 1",
     "p2_found": _SUPPLY + " SELECT target_set, model, grade, is_future FROM s WHERE available < greatest(wanted, min_rows)",
+    "p6_found": f"WITH h AS ({_shingles('eval_items', 'item_id')}), g AS ({_shingles('documents', 'doc_id')}) SELECT DISTINCT doc_id, item_id FROM g JOIN h USING (gram)",
     "p4_found": f"SELECT row_id, field FROM ({_FORMS}) WHERE original <> consistent",
     "p4_consistent": f"SELECT * FROM ({_FORMS}) WHERE original <> consistent",
     "p4_report": f"SELECT field, count(*) AS n_values, count(*) FILTER (original <> consistent) AS n_cases FROM ({_FORMS}) GROUP BY field",
