@@ -27,9 +27,11 @@ def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
     starts and back that in which it ends; as a form of writing shapes what may follow it, each has a model of its own."""
     t = F.col("text")
     rows = df.select(df[key].alias("id"), df[text].alias("text")).where("id is not null and text is not null")
-    rows = rows.withColumn("text", F.regexp_replace(F.regexp_replace(t, _CUT_END, ""), _CUT_START, "")).where("text <> ''")
+    # most texts have no mark at all, which their last and first characters tell without a search
+    end = F.when(F.right(t, F.lit(1)).rlike(r"[\s\uFFFD….\]]"), F.regexp_replace(t, _CUT_END, "")).otherwise(t)
+    rows = rows.withColumn("text", end).withColumn("text", F.when(F.left(t, F.lit(1)).rlike(r"[\s\uFFFD….\[]"), F.regexp_replace(t, _CUT_START, "")).otherwise(t)).where("text <> ''")
     opened = F.regexp_replace(F.regexp_extract(t, r"^(?:```[a-z]*\s*)?[\[{\s]*", 0), r"\s|[a-z]", "")
-    closed = F.regexp_replace(F.regexp_extract(t, r"[\]}\s]*(?:```\s*)?$", 0), r"\s", "")
+    closed = F.regexp_replace(F.regexp_extract(F.right(t, F.lit(64)), r"[\]}\s]*(?:```\s*)?$", 0), r"\s", "")
     inner = lambda mark: F.least(F.length(t) - F.length(F.replace(t, F.lit(mark), F.lit(""))), F.lit(3)).cast("string")
     front = F.when(opened != "", F.concat(opened, inner("{"))).when(t.rlike(r"^\p{Lu}"), "text").otherwise("inside")
     back = F.when(closed != "", F.concat(closed, inner("}"))).otherwise("text")
@@ -168,7 +170,7 @@ def _sieve(edges: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def edge_scores(texts: DataFrame, salts: int = 16) -> DataFrame:
+def edge_scores(texts: DataFrame, salts: int) -> DataFrame:
     """(digest, side, form, score): log-odds that the text ends ('end') or starts ('start') where it does against that it goes
     on.  texts: (digest, text, front, back), distinct texts with the forms in which they start and end.
 
@@ -211,19 +213,20 @@ def edge_thresholds(scores: DataFrame, usual: float = -0.5, least: int = 50) ->
     return g.select("side", "form", F.when(F.col("texts") >= least, F.array_min(windows)["at"]).otherwise(usual).alias("threshold"))
 
 
-def truncated_texts(df: DataFrame, key: str, text: str, salts: int = 16) -> DataFrame:
+def truncated_texts(df: DataFrame, key: str, text: str, rows_per_salt: int = 1_000_000) -> DataFrame:
     """(key, lost_end, lost_start, end_score, start_score), a row for each non-blank text.
 
     An edge is lost where the log-odds of edge_scores() are below the threshold of its form of writing, found for this
     column by edge_thresholds().  An exact check follows: a text whose
     last character is a comma, a colon or an opening bracket has lost its end.  Copies of a text are one text in the
     model and all get its scores.  Null keys and null and blank texts give no row; a text of one character has no context, and only
-    the exact check applies.  Repeated keys give one row, lost where any of their texts is; further columns are ignored.
+    the exact check applies.  A frequent text or context is joined in a part for each rows_per_salt rows.  Repeated keys give one row, lost where any of their texts is; further columns are ignored.
     """
     rows = stored(_texts(df, key, text).withColumn("digest", F.sha2("text", 256)))
     once = stored(rows.groupBy("digest").agg(*(F.first(c).alias(c) for c in ("text", "front", "back"))))
+    salts = 1 + rows.count() // rows_per_salt
     salted = lambda x: x.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    scores = stored(edge_scores(once).withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(salts)).cast("int")))
+    scores = stored(edge_scores(once, salts).withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(salts)).cast("int")))
     marked = scores.join(salted(edge_thresholds(scores.where("score is not null"))), ["side", "form", "salt"], "left").withColumn("lost", F.coalesce(F.col("score") < F.col("threshold"), F.lit(False)))
     of = lambda side: (F.min(F.when(F.col("side") == side, F.col("score"))).alias(f"{side}_score"), F.coalesce(F.bool_or((F.col("side") == side) & F.col("lost")), F.lit(False)).alias(f"lost_{side}"))
     flags = salted(marked.groupBy("digest").agg(*of("end"), *of("start")))
