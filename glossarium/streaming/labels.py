@@ -16,15 +16,29 @@ def label_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(SCHEMA).option("mode", "DROPMALFORMED").json(folder).where("id is not null and line_no is not null")
 
 
-def compacted(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Keeps under `target` one version a batch of the last record per id.  A batch that runs again after a failure
-    writes the same version again from the version before, so that nothing is counted twice."""
+def labels_at(spark: SparkSession, target: str, number: int | None = None) -> DataFrame:
+    """The last record per id under `target`, as it was before batch `number`, or as it is now.  Each bucket of ids has a
+    part for each batch that changed it, of which the newest counts; the choice reads names of folders, not records."""
+    parts = spark.read.parquet(target)
+    parts = parts if number is None else parts.where(F.col("version") < number)
+    newest = parts.groupBy(F.col("bucket").alias("_b")).agg(F.max("version").alias("_v"))
+    return parts.join(F.broadcast(newest), (F.col("bucket") == F.col("_b")) & (F.col("version") == F.col("_v"))).drop("_b", "_v", "bucket", "version")
+
+
+def compacted(stream: DataFrame, target: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Keeps the last record per id under `target`, read by labels_at().  A batch writes the buckets of the ids that it
+    changes, and no others.  One that runs again after a failure writes the same parts again from those before it, so
+    that nothing is counted twice."""
 
     def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+        spark, bucket = batch.sparkSession, F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
+        fresh = last_wins(batch, "id", "line_no")
         if number:
-            batch = batch.unionByName(spark.read.parquet(f"{target}/version={number - 1}").select(batch.columns))
-        last_wins(batch, "id", "line_no").write.mode("overwrite").parquet(f"{target}/version={number}")
+            touched = fresh.select(bucket.alias("_t")).distinct()
+            held = labels_at(spark, target, number).select(fresh.columns).withColumn("_t", bucket).join(F.broadcast(touched), "_t", "left_semi").drop("_t")
+            fresh = last_wins(fresh.unionByName(held), "id", "line_no")
+        out = fresh.withColumns({"bucket": bucket, "version": F.lit(number)}).repartition("bucket")
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(target)
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

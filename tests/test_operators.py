@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from glossarium.functions import text
 from glossarium.operators import neighborhood, perturbation, predictions, records, sampling
 from glossarium.plans.prefix import hashed_order, running_totals
-from glossarium.streaming.labels import compacted, daily_counts, label_stream
+from glossarium.streaming.labels import compacted, daily_counts, label_stream, labels_at
 
 
 def test_recall_and_leakage(spark):
@@ -123,7 +123,9 @@ def test_label_stream(spark, tmp_path):
     compacted(label_stream(spark, str(source)), target, str(tmp_path / "c")).awaitTermination()
     (source / "2.json").write_text(line(5, "a", 7))
     compacted(label_stream(spark, str(source)), target, str(tmp_path / "c")).awaitTermination()
-    rows = spark.read.parquet(f"{target}/version=1").select("id", "form").collect()
-    assert {tuple(r) for r in rows} == {("a", 7), ("b", 3)}
+    assert {(r.id, r.form) for r in labels_at(spark, target).collect()} == {("a", 7), ("b", 3)}
+    assert {(r.id, r.form) for r in labels_at(spark, target, 1).collect()} == {("a", 2), ("b", 3)}
+    versions = {(r.id, r.version) for r in spark.read.parquet(target).collect()}
+    assert versions == {("a", 0), ("b", 0), ("a", 1)}  # the bucket of b isn't written again
     counts = daily_counts(spark.sql("select timestamp'2026-03-01 10:00:00' as t union all select timestamp'2026-03-01 12:00:00'"), "t").collect()
     assert [r.n for r in counts] == [2]
