@@ -36,19 +36,22 @@ def is_subsequence(inner: Column, outer: Column) -> Column:
     return met == F.size(inner)
 
 
-def without_evidence(text: Column, evidence: Column, word: Column) -> tuple[Column, Column]:
-    """(edited text, how) without what recruits the word: the phrase quoted as evidence where the text has it verbatim,
-    and otherwise the parts between commas, semicolons, colons, 'and' and 'but' that hold the word.  An edit that leaves
-    less than 40 characters or 60 % of the text is none: null and 'no_clean_deletion'.  Null evidence is never found."""
+def without_evidence(df: DataFrame, text: str, evidence: Column, word: Column) -> DataFrame:
+    """df with `deleted` and `how`: the text without what recruits the word, which is the phrase quoted as evidence where
+    the text has it verbatim, and otherwise the parts between commas, semicolons, colons, 'and' and 'but' that hold the
+    word.  An edit that leaves less than 40 characters or 60 % of the text is none: null and 'no_clean_deletion'.  Null
+    evidence is never found."""
+    t = F.col(text)
     squeeze = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    kept = lambda c: (F.length(c) >= MIN_CHARS) & (F.length(c) >= MIN_SHARE * F.length(text))
-    quote = F.trim(evidence)
-    at = F.instr(F.lower(text), F.lower(quote))
-    phrase = F.when((quote != "") & (at > 0), squeeze(F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + F.length(quote), F.length(text)))))
-    parts = F.split(F.regexp_replace(text, r"([,;:]|\band\b|\bbut\b)", "\u0001$1\u0001"), "\u0001")
+    kept = lambda c: F.coalesce((F.length(c) >= MIN_CHARS) & (F.length(c) >= MIN_SHARE * F.length(t)), F.lit(False))
+    # each step is a column of its own, so that no expression is copied into the next
+    x = df.withColumn("_quote", F.trim(evidence)).withColumn("_at", F.instr(F.lower(t), F.lower("_quote")))
+    phrase = F.when((F.col("_quote") != "") & (F.col("_at") > 0), squeeze(F.concat(F.substring(t, F.lit(1), F.col("_at") - 1), F.substring(t, F.col("_at") + F.length("_quote"), F.length(t)))))
+    parts = F.split(F.regexp_replace(t, r"([,;:]|\band\b|\bbut\b)", "\u0001$1\u0001"), "\u0001")
     rest = squeeze(F.array_join(F.filter(parts, lambda p: ~F.rlike(p, whole_word(word))), ""))
-    by_phrase, by_part = F.coalesce(kept(phrase), F.lit(False)), F.coalesce((rest != text) & kept(rest), F.lit(False))
-    return F.when(by_phrase, phrase).when(by_part, rest), F.when(by_phrase, "evidence_phrase").when(by_part, "clause_fallback").otherwise("no_clean_deletion")
+    x = x.withColumns({"_phrase": phrase, "_rest": rest})
+    x = x.withColumn("how", F.when(kept(F.col("_phrase")), "evidence_phrase").when(kept(F.col("_rest")) & (F.col("_rest") != t), "clause_fallback").otherwise("no_clean_deletion"))
+    return x.withColumn("deleted", F.when(F.col("how") == "evidence_phrase", F.col("_phrase")).when(F.col("how") == "clause_fallback", F.col("_rest"))).drop("_quote", "_at", "_phrase", "_rest")
 
 
 def deletion_status(before: Column, after: Column, word: Column) -> Column:
@@ -90,17 +93,18 @@ def edit_arms(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
     near = nearest_by_frequency(words, lexicon.select("word", F.col("n_docs").alias("n"))).select("word", "substitute")
     for c in ("donor", "placebo"):
         x = x.join(near.select(F.col("word").alias(c), F.col("substitute").alias(f"for_{c}")), c, "left")
-    text, target = F.col("prefix"), F.col("target")
+    for c in ("donor", "placebo"):
+        x = x.withColumn(f"with_{c}", substituted(F.col("prefix"), F.col(c), F.col(f"for_{c}")))
+    x = without_evidence(x, "prefix", F.lit(None).cast("string"), F.col("donor"))
 
-    def swap(name: str, word: str, by: str) -> Column:
-        edited = substituted(text, F.col(word), F.col(by))
-        reason = F.when(F.col(word).isNull(), "no_candidate").when(F.col(by).isNull(), "no_substitute").when(shares_run(F.col(by), target), "overlaps_target").when(doubles_a_word(edited), "adjacent_duplicate").otherwise("ok")
-        return F.struct(F.lit(name).alias("arm"), F.col(word).alias("word"), F.when(reason == "ok", edited).alias("edited"), reason.alias("status"))
+    def reason(word: str) -> Column:
+        by = F.col(f"for_{word}")
+        return F.when(F.col(word).isNull(), "no_candidate").when(by.isNull(), "no_substitute").when(shares_run(by, F.col("target")), "overlaps_target").when(doubles_a_word(F.col(f"with_{word}")), "adjacent_duplicate").otherwise("ok")
 
-    rest, how = without_evidence(text, F.lit(None).cast("string"), F.col("donor"))
-    found = F.when(rest.isNull(), how).otherwise(deletion_status(text, rest, F.col("donor")))
-    deleted = F.struct(F.lit("donor_deleted").alias("arm"), F.col("donor").alias("word"), F.when(found == "ok", rest).alias("edited"), found.alias("status"))
-    arms = F.array(swap("donor_substituted", "donor", "for_donor"), deleted, swap("placebo", "placebo", "for_placebo"))
+    found = F.when(F.col("deleted").isNull(), F.col("how")).otherwise(deletion_status(F.col("prefix"), F.col("deleted"), F.col("donor")))
+    x = x.withColumns({"_s": reason("donor"), "_d": found, "_p": reason("placebo")})
+    arm = lambda name, word, text, status: F.struct(F.lit(name).alias("arm"), F.col(word).alias("word"), F.when(F.col(status) == "ok", F.col(text)).alias("edited"), F.col(status).alias("status"))
+    arms = F.array(arm("donor_substituted", "donor", "with_donor", "_s"), arm("donor_deleted", "donor", "deleted", "_d"), arm("placebo", "placebo", "with_placebo", "_p"))
     return x.select("row_id", F.explode_outer(arms).alias("a")).select("row_id", "a.*")
 
 
@@ -112,6 +116,18 @@ def arm_effects(read: DataFrame) -> DataFrame:
     return g.withColumn("lambda", paired_log_ratio(F.col("lost"), F.col("gained"))).withColumn("p", exact_binomial(F.col("lost"), F.col("gained")))
 
 
+def arm_against_placebo(read: DataFrame) -> DataFrame:
+    """(arm, n, both_lost, arm_only, placebo_only, lambda, p): prompts that were recalled before, with a clean edit in the
+    arm and in the placebo: how many lose the target by both, by the arm alone and by the placebo alone.
+    read: (row_id, arm, before BOOLEAN, after BOOLEAN); row_id is unique inside an arm."""
+    of = read.groupBy("row_id").agg(F.collect_list(F.struct("arm", "before", (F.col("before") & ~F.col("after")).alias("lost"))).alias("arms"))
+    x = of.withColumn("beside", F.get(F.filter("arms", lambda a: a["arm"] == "placebo"), F.lit(0))).where("beside is not null")
+    x = x.select("beside", F.explode_outer(F.filter("arms", lambda a: a["arm"] != "placebo")).alias("a")).where("a is not null")
+    both, a, b = F.col("a.before") & F.col("beside.before"), F.col("a.lost"), F.col("beside.lost")
+    g = x.groupBy("a.arm").agg(F.count_if(both).alias("n"), F.count_if(both & a & b).alias("both_lost"), F.count_if(both & a & ~b).alias("arm_only"), F.count_if(both & ~a & b).alias("placebo_only"))
+    return g.withColumn("lambda", paired_log_ratio(F.col("arm_only"), F.col("placebo_only"))).withColumn("p", exact_binomial(F.col("arm_only"), F.col("placebo_only")))
+
+
 def screened(pairs: DataFrame, lexicon: DataFrame, band: float = 1.5) -> DataFrame:
     """pairs (target, word) with `gap` and `reason`, the first of: not_letters, same_stem, overlaps_target (three letters
     in a row), not_attested, frequency_band (log10 frequencies further apart than band) or kept.
@@ -126,10 +142,17 @@ def screened(pairs: DataFrame, lexicon: DataFrame, band: float = 1.5) -> DataFra
     return x.select("target", "word", gap.alias("gap"), reason.alias("reason"))
 
 
-def substitutes(judged: DataFrame) -> DataFrame:
-    """(target, substitute, gap): the kept word nearest in frequency, ties by the alphabet."""
-    best = judged.where("reason = 'kept'").groupBy("target").agg(F.min(F.struct("gap", "word")).alias("b"))
-    return best.select("target", F.col("b.word").alias("substitute"), "b.gap")
+def substitutes(judged: DataFrame, proposals: DataFrame | None = None) -> DataFrame:
+    """(target, substitute, gap): the kept word nearest in frequency, ties by the alphabet.
+
+    proposals: (target, word, pos).  A target with proposals takes the first of them that was kept, and none if none
+    was: what was proposed in context isn't replaced by what is merely as frequent."""
+    kept = judged.where("reason = 'kept'")
+    best = kept.groupBy("target").agg(F.min(F.struct("gap", "word")).alias("b")).select("target", F.col("b.word").alias("substitute"), "b.gap")
+    if proposals is None:
+        return best
+    first = proposals.join(kept, ["target", "word"]).groupBy("target").agg(F.min(F.struct("pos", "word", "gap")).alias("b")).select("target", F.col("b.word").alias("substitute"), "b.gap")
+    return first.unionByName(best.join(proposals.select("target").distinct(), "target", "left_anti"))
 
 
 def nearest_by_frequency(words: DataFrame, counts: DataFrame, band: int = 150) -> DataFrame:

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossarium import sql
-from glossarium.functions.spelling import plain_key
-from glossarium.functions.text import ENDINGS, common_run, inflected, inflection, letter_tokens, norm, prefix_before, run_place, run_text
+from glossarium.functions import stats
+from glossarium.functions.spelling import named_parts, plain_key
+from glossarium.functions.text import ENDINGS, common_run, inflected, inflection, letter_tokens, norm, prefix_before, run_place, run_text, shares_run
 from glossarium.operators import decoding, judged, neighborhood, outcomes, perturbation, predictions, sampling, scaffold
 from glossarium.operators.packed import with_slots
-from glossarium.queries import _BIGRAMS, _DONORS, _DRAW, _GROUPS, _HEADWORDS, _HIT, _LABELLED, _LEX, _NEAREST, _P, _PAIRS, _RUN, _edits, _labelled, _last_labels, _lexicon, query
+from glossarium.form_queries import _SCREEN, _judged
+from glossarium.queries import _BIGRAMS, _CELLS, _CUES, _DONORS, _DRAW, _GROUPS, _HALDANE, _HEADWORDS, _HIT, _LABELLED, _LEX, _NAMED, _NEAREST, _P, _PAIRS, _RUN, _cells, _cues, _decoded, _edits, _labelled, _last_labels, _lexicon, query
 from glossarium.sources.session import spread, table
 
 # ---------------------------------------------------------------- answers of the judge
@@ -199,23 +201,34 @@ def q84_edit_arms(spark: SparkSession, d: str) -> DataFrame:
     return _arms(spark, d)[1]
 
 
-@query(f"""WITH RECURSIVE {_ARMS}, {_BIGRAMS}, rk AS (SELECT word, next FROM bg QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, next) <= 100),
- rd AS (SELECT arm, target, list_extract([lower(w) for w in regexp_extract_all(prefix, '[A-Za-z]+')], -1) AS w1, list_extract([lower(w) for w in regexp_extract_all(edited, '[A-Za-z]+')], -1) AS w2 FROM ar WHERE status = 'ok'),
- re AS (SELECT arm, a.word IS NOT NULL AS before, b.word IS NOT NULL AS after FROM rd LEFT JOIN rk a ON a.word = w1 AND a.next = target LEFT JOIN rk b ON b.word = w2 AND b.next = target),
- rg AS (SELECT arm, count(*) AS n, count(*) FILTER (before) AS before, count(*) FILTER (after) AS after, count(*) FILTER (before AND NOT after) AS lost, count(*) FILTER (after AND NOT before) AS gained FROM re GROUP BY arm)
- SELECT *, round(ln((lost + CASE WHEN least(lost, gained) = 0 THEN 0.5 ELSE 0 END)::DOUBLE / (gained + CASE WHEN least(lost, gained) = 0 THEN 0.5 ELSE 0 END)), 6) AS lambda,
- CASE WHEN lost + gained = 0 THEN 1.0 ELSE round(least(1.0, 2 * list_sum([exp(lgamma(lost + gained + 1) - lgamma(i + 1) - lgamma(lost + gained - i + 1) - (lost + gained) * ln(2.0::DOUBLE)) for i in range(0, least(lost, gained) + 1)])), 6) END AS p FROM rg""")
-def q85_arm_effects(spark: SparkSession, d: str) -> DataFrame:
-    """What each arm does to the recall of the targets among the words that follow the prompt's last one in the corpus."""
+_READ = f"""{_ARMS}, {_BIGRAMS}, rk AS (SELECT word, next FROM bg QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, next) <= 100),
+ rd AS (SELECT row_id, arm, target, unnest(list_distinct([lower(w) for w in regexp_extract_all(prefix, '[A-Za-z]+')])) AS w, 1 AS side FROM ar WHERE status = 'ok' UNION ALL SELECT row_id, arm, target, unnest(list_distinct([lower(w) for w in regexp_extract_all(edited, '[A-Za-z]+')])), 2 FROM ar WHERE status = 'ok'),
+ rs AS (SELECT row_id, arm, bool_or(side = 1) AS before, bool_or(side = 2) AS after FROM rd JOIN rk ON rk.word = rd.w AND rk.next = rd.target GROUP BY ALL),
+ re AS (SELECT row_id, arm, coalesce(before, false) AS before, coalesce(after, false) AS after FROM ar LEFT JOIN rs USING (row_id, arm) WHERE status = 'ok')"""
+
+
+def _paired_sql(b: str, c: str) -> str:
+    return f"""round(ln(({b} + CASE WHEN least({b}, {c}) = 0 THEN 0.5 ELSE 0 END)::DOUBLE / ({c} + CASE WHEN least({b}, {c}) = 0 THEN 0.5 ELSE 0 END)), 6) AS lambda,
+ CASE WHEN {b} + {c} = 0 THEN 1.0 ELSE round(least(1.0, 2 * list_sum([exp(lgamma({b} + {c} + 1) - lgamma(i + 1) - lgamma({b} + {c} - i + 1) - ({b} + {c}) * ln(2.0::DOUBLE)) for i in range(0, least({b}, {c}) + 1)])), 6) END AS p"""
+
+
+def _read_arms(spark: SparkSession, d: str) -> DataFrame:
+    """(row_id, arm, before, after): whether the target is among the hundred words that follow any of the prompt's words
+    most often in the corpus, before and after each clean edit."""
     rows, arms = _arms(spark, d)
-    last = lambda c: F.element_at(F.concat(F.array(F.lit(None).cast("string")), letter_tokens(F.col(c))), -1)
-    read = arms.where("status = 'ok'").join(rows.select("row_id", "target", "prefix"), "row_id").select("arm", "target", last("prefix").alias("w1"), last("edited").alias("w2"))
-    ranked = decoding.top_next(decoding.word_pairs(table(spark, d, "documents"), "text"), 100)
-    for side in ("1", "2"):
-        follow = ranked.select(F.col("word").alias(f"w{side}"), F.col("next").alias("target"), F.lit(True).alias(f"got{side}"))
-        read = read.join(follow, [f"w{side}", "target"], "left")
-    both = read.select("arm", F.coalesce("got1", F.lit(False)).alias("before"), F.coalesce("got2", F.lit(False)).alias("after"))
-    return perturbation.arm_effects(both).withColumns({c: F.round(c, 6) for c in ("lambda", "p")})
+    clean = arms.where("status = 'ok'").join(rows.select("row_id", "target", "prefix"), "row_id")
+    side = lambda c, after: F.transform(F.array_distinct(letter_tokens(F.col(c))), lambda w: F.struct(w.alias("word"), F.lit(after).alias("after")))
+    words = clean.select("row_id", "arm", "target", F.explode_outer(F.concat(side("prefix", False), side("edited", True))).alias("x")).select("row_id", "arm", "target", "x.*")
+    ranked = decoding.top_next(decoding.word_pairs(table(spark, d, "documents"), "text"), 100).select("word", F.col("next").alias("target"))
+    met = words.join(ranked, ["word", "target"]).groupBy("row_id", "arm").agg(F.bool_or(~F.col("after")).alias("before"), F.bool_or("after").alias("after"))
+    return clean.select("row_id", "arm").join(met, ["row_id", "arm"], "left").na.fill(False, ["before", "after"])
+
+
+@query(f"""WITH RECURSIVE {_READ}, rg AS (SELECT arm, count(*) AS n, count(*) FILTER (before) AS before, count(*) FILTER (after) AS after, count(*) FILTER (before AND NOT after) AS lost, count(*) FILTER (after AND NOT before) AS gained FROM re GROUP BY arm)
+ SELECT *, {_paired_sql("lost", "gained")} FROM rg""")
+def q85_arm_effects(spark: SparkSession, d: str) -> DataFrame:
+    """What each arm does to the recall of the targets among the words that follow those of the prompt in the corpus."""
+    return perturbation.arm_effects(_read_arms(spark, d)).withColumns({c: F.round(c, 6) for c in ("lambda", "p")})
 
 
 # ---------------------------------------------------------------- routes, labels, sheets
@@ -380,3 +393,103 @@ def q102_inflected_substitutes(spark: SparkSession, d: str) -> DataFrame:
     known = x.select("word", F.posexplode("forms").alias("pos", "form")).join(lexicon.select(F.col("word").alias("form")), "form").groupBy("word").agg(F.min_by("form", "pos").alias("known"))
     x = x.join(known, "word", "left")
     return x.select("word", "base", "ending", F.coalesce("known", F.get("forms", F.lit(0))).alias("form"), F.col("known").isNotNull().cast("int").alias("attested"))
+
+
+# ---------------------------------------------------------------- pairs, coverage, ceilings
+
+
+@query(f"""WITH RECURSIVE {_READ}, rb AS (SELECT row_id, arm, before, before AND NOT after AS lost FROM re), rg AS (SELECT x.arm, count(*) FILTER (x.before AND y.before) AS n, count(*) FILTER (x.lost AND y.lost) AS both_lost, count(*) FILTER (x.lost AND y.before AND NOT y.lost) AS arm_only, count(*) FILTER (x.before AND NOT x.lost AND y.lost) AS placebo_only FROM rb x JOIN rb y USING (row_id) WHERE x.arm <> 'placebo' AND y.arm = 'placebo' GROUP BY x.arm)
+ SELECT *, {_paired_sql("arm_only", "placebo_only")} FROM rg""")
+def q103_arms_against_placebo(spark: SparkSession, d: str) -> DataFrame:
+    return perturbation.arm_against_placebo(_read_arms(spark, d)).withColumns({c: F.round(c, 6) for c in ("lambda", "p")})
+
+
+@query(f"""WITH {_P}, g AS (SELECT model, count(*) FILTER (year > cutoff_year) AS n_post, count(*) FILTER (year > cutoff_year AND entry_year IS NOT NULL) AS n_entered, count(*) FILTER (year > cutoff_year AND entry_year <= cutoff_year) AS n_anchored, avg({_HIT}) FILTER (year <= cutoff_year) AS before, avg({_HIT}) FILTER (year > cutoff_year) AS after FROM p GROUP BY model)
+ SELECT model, n_post, n_entered, n_anchored, CASE WHEN n_post > 0 THEN round(n_entered / n_post, 9) END AS coverage, round(after - before, 9) AS change, CASE WHEN after > before THEN 'rises' WHEN after < before THEN 'falls' WHEN after = before THEN 'level' END AS direction FROM g""")
+def q104_anchoring(spark: SparkSession, d: str) -> DataFrame:
+    """How many later items have a year of entry, or one before the cutoff, and where recall goes beyond the cutoff."""
+    post, past = F.col("year") > F.col("cutoff_year"), F.col("year") <= F.col("cutoff_year")
+    hit = predictions.hit(F.col("rank"), 100)
+    g = predictions.predictions(spark, d).groupBy("model").agg(F.count_if(post).alias("n_post"), F.count_if(post & F.col("entry_year").isNotNull()).alias("n_entered"), F.count_if(post & (F.col("entry_year") <= F.col("cutoff_year"))).alias("n_anchored"), F.avg(F.when(past, hit)).alias("before"), F.avg(F.when(post, hit)).alias("after"))
+    a, b = F.col("after"), F.col("before")
+    return g.select("model", "n_post", "n_entered", "n_anchored", F.when(F.col("n_post") > 0, F.round(F.col("n_entered") / F.col("n_post"), 9)).alias("coverage"), F.round(a - b, 9).alias("change"), F.when(a > b, "rises").when(a < b, "falls").when(a == b, "level").alias("direction"))
+
+
+@query(f"""WITH {_P}, {_HEADWORDS}, x AS (SELECT p.model, CASE WHEN v.word IS NULL THEN 0 ELSE 1 END AS inside, k, CASE WHEN rank BETWEEN 1 AND k THEN 1 ELSE 0 END AS hit FROM p LEFT JOIN v ON p.target = v.word, (VALUES (10), (20), (50), (100)) w(k) WHERE year > cutoff_year)
+ SELECT model, CAST(k AS INT) AS k, CAST(inside AS INT) AS inside, count(*) AS n, CAST(sum(hit) AS BIGINT) AS hits, round(avg(hit), 9) AS recall FROM x GROUP BY ALL""")
+def q105_parts_by_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Recall at each rank of the later items whose target is a headword of the documents, and of the others."""
+    heads = table(spark, d, "documents").select(norm(F.col("headword")).alias("w")).where("w <> ''").distinct().withColumn("_in", F.lit(1))
+    x = predictions.predictions(spark, d).where("year > cutoff_year").withColumn("w", norm(F.col("target_word"))).join(heads, "w", "left")
+    hits = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), predictions.hit(F.col("rank"), k).alias("hit")) for k in predictions.KS)))
+    x = x.select("model", F.col("_in").isNotNull().cast("int").alias("inside"), hits.alias("x")).select("model", "inside", "x.*")
+    return x.groupBy("model", "k", "inside").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"), F.round(F.avg("hit"), 9).alias("recall"))
+
+
+@query(f"WITH {_NAMED} SELECT grade, domain, count(DISTINCT id) AS n_items, count(DISTINCT lower(trim(target_word, ' '))) AS n_targets FROM nk WHERE grade IS NOT NULL GROUP BY grade, domain")
+def q106_items_by_grade(spark: SparkSession, d: str) -> DataFrame:
+    x = _decoded(spark, d).withColumn("grade", named_parts(F.col("grade"), scaffold.GRADES)).where("grade is not null")
+    return x.groupBy("grade", "domain").agg(F.countDistinct("id").alias("n_items"), F.countDistinct(F.lower(F.trim("target_word"))).alias("n_targets"))
+
+
+@query(f"""WITH {_CUES}, t AS (SELECT model, is_future, {_CELLS} FROM cu GROUP BY ALL), h AS (SELECT model, is_future, a + {_HALDANE.format("")} AS a, b + {_HALDANE.format("")} AS b, c + {_HALDANE.format("")} AS c, d + {_HALDANE.format("")} AS d FROM t),
+ l AS (SELECT model, is_future, ln(a * d / (b * c)) AS lam, 1 / a + 1 / b + 1 / c + 1 / d AS v FROM h), j AS (SELECT p.model, p.lam - q.lam AS lam, sqrt(p.v + q.v) AS se FROM l p JOIN l q USING (model) WHERE p.is_future = 1 AND q.is_future = 0)
+ SELECT model, round(lam, 6) AS lambda3, round(se, 6) AS error, round(exp(lam), 6) AS ratio, round(exp(lam - {stats.Z} * se), 6) AS low, round(exp(lam + {stats.Z} * se), 6) AS high FROM j""")
+def q107_interaction(spark: SparkSession, d: str) -> DataFrame:
+    """How much stronger a cue is associated with recall beyond the cutoff than before it, with the combined error."""
+    t = _cells(_cues(spark, d), "model", "is_future")
+    c = [F.col(x) for x in "abcd"]
+    l = t.select("model", "is_future", stats.log_odds_ratio(c).alias("lam"), stats.log_odds_error(c).alias("se"))
+    p, q = (l.where(F.col("is_future") == v).select("model", F.col("lam").alias(f"lam{v}"), F.col("se").alias(f"se{v}")) for v in (1, 0))
+    lam, se = F.col("lam1") - F.col("lam0"), F.sqrt(F.col("se1") * F.col("se1") + F.col("se0") * F.col("se0"))
+    r = lambda x, n: F.round(x, 6).alias(n)
+    return p.join(q, "model").select("model", r(lam, "lambda3"), r(se, "error"), r(F.exp(lam), "ratio"), r(F.exp(lam - stats.Z * se), "low"), r(F.exp(lam + stats.Z * se), "high"))
+
+
+@query(f"""WITH RECURSIVE {_JUDGED}, {_ANSWERED}, hl AS (SELECT id, arg_min(form, line_no) AS a, arg_max(form, line_no) AS b, count(*) AS m FROM label_log WHERE id IS NOT NULL AND form IS NOT NULL GROUP BY id), ks AS (SELECT unnest([1, 2, 3, 5]) AS k),
+ cl AS (SELECT k, avg(((a >= k) = (b >= k))::INT) AS ceiling FROM hl, ks WHERE m > 1 GROUP BY k), ac AS (SELECT k, count(*) AS n, avg(((b >= k) = (form_n >= k))::INT) AS accuracy FROM ja JOIN hl ON hl.id = ja.nbr_id, ks GROUP BY k)
+ SELECT CAST(k AS INT) AS k, n, round(accuracy, 9) AS accuracy, round(ceiling, 9) AS ceiling, CASE WHEN ceiling > 0 THEN round(accuracy / ceiling, 9) END AS share FROM ac LEFT JOIN cl USING (k)""")
+def q108_share_of_ceiling(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracy of the judge against the last hand label, as a share of how well labels given twice agree."""
+    log = table(spark, d, "label_log").where("id is not null and form is not null").groupBy("id").agg(F.min_by("form", "line_no").alias("a"), F.max_by("form", "line_no").alias("b"), F.count(F.lit(1)).alias("m"))
+    each = F.explode(F.array(*map(F.lit, (1, 2, 3, 5))))
+    same = lambda x, y: F.avg(((F.col(x) >= F.col("k")) == (F.col(y) >= F.col("k"))).cast("int"))
+    ceiling = log.where("m > 1").withColumn("k", each).groupBy("k").agg(same("a", "b").alias("ceiling"))
+    judged_ = _judged_sizes(spark, d).where("how in ('object', 'list')").join(log.withColumnRenamed("id", "nbr_id"), "nbr_id").withColumn("k", each)
+    g = judged_.groupBy("k").agg(F.count(F.lit(1)).alias("n"), same("b", "form_n").alias("accuracy")).join(ceiling, "k", "left")
+    return g.select("k", "n", F.round("accuracy", 9).alias("accuracy"), F.round("ceiling", 9).alias("ceiling"), F.when(F.col("ceiling") > 0, F.round(F.col("accuracy") / F.col("ceiling"), 9)).alias("share"))
+
+
+@query(f"""WITH {_SCREEN}, pw AS (SELECT target, lower(trim(w, ' ')) AS word, min(pos) AS pos FROM (SELECT target, unnest(words) AS w, unnest(range(len(words))) AS pos FROM p WHERE model = 'talkie-base' AND target <> '') GROUP BY ALL),
+ f AS (SELECT target, arg_min(struct_pack(w := cr.word, gap := gap), (pos, cr.word)) AS b FROM pw JOIN cr USING (target, word) WHERE reason = 'kept' GROUP BY target),
+ r AS (SELECT target, word, gap, row_number() OVER (PARTITION BY target ORDER BY gap, word) AS rn FROM cr WHERE reason = 'kept' AND target NOT IN (SELECT target FROM pw))
+ SELECT target, b.w AS substitute, b.gap AS gap FROM f UNION ALL SELECT target, word, gap FROM r WHERE rn = 1""")
+def q109_proposed_substitutes(spark: SparkSession, d: str) -> DataFrame:
+    """Substitutes by the order in which one model proposes words; by frequency only for targets it has no list for."""
+    p = predictions.predictions(spark, d).where("model = 'talkie-base'").select(norm(F.col("target_word")).alias("target"), F.posexplode_outer("words").alias("pos", "w")).where("target <> '' and w is not null")
+    proposals = p.groupBy("target", norm(F.col("w")).alias("word")).agg(F.min("pos").alias("pos"))
+    return perturbation.substitutes(_judged(spark, d), proposals)
+
+
+@query(f"""WITH {_NAMED}, x AS (SELECT model, is_future, route <> 'none' AS cued, k, CASE WHEN rank BETWEEN 1 AND k THEN 1 ELSE 0 END AS hit FROM nk, (VALUES (10), (100)) v(k) WHERE is_future IS NOT NULL AND route IS NOT NULL)
+ SELECT model, is_future, CAST(cued AS INT) AS cued, CAST(k AS INT) AS k, count(*) AS n, round(avg(hit), 9) AS rate FROM x GROUP BY ALL""")
+def q110_ladder_by_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Recall at 10 and at 100 with and without a cue, before and beyond the cutoff."""
+    x = _decoded(spark, d).where("is_future is not null and route is not null").withColumn("k", F.explode(F.array(F.lit(10), F.lit(100))))
+    hit = F.coalesce(F.col("rank").between(F.lit(1), F.col("k")), F.lit(False)).cast("int")
+    return x.groupBy("model", "is_future", (F.col("route") != "none").cast("int").alias("cued"), "k").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(hit), 9).alias("rate"))
+
+
+_LIVES = "len(list_filter([substring(target, CAST(i AS INT), 3) for i in range(1, length(target) - 1)], lambda g: contains(w, g))) > 0"
+
+
+@query(f"""WITH RECURSIVE {_JUDGED}, {_ANSWERED}, tg AS (SELECT failure_id AS id, lower(trim(coalesce(target, ''), ' ')) AS target FROM judge_failures), sv AS (SELECT jk.id, count(*) AS named, count(*) FILTER (NOT (length(target) >= 3 AND length(w) >= 3 AND {_LIVES})) AS left_over FROM jk JOIN tg USING (id) GROUP BY jk.id)
+ SELECT CAST(named AS INT) AS named, CAST(left_over AS INT) AS left_over, count(*) AS n FROM ja JOIN sv USING (id) GROUP BY named, left_over""")
+def q111_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """How many of a judged group's members are left once the words that share a run with the target are taken out."""
+    targets = table(spark, d, "judge_failures").select("failure_id", norm(F.col("target")).alias("target"))
+    x = _answers(spark, d).where("how in ('object', 'list')").join(targets, "failure_id")
+    words = F.transform(F.coalesce("words", F.array().cast("array<string>")), norm)
+    x = x.withColumn("m", F.array_intersect(F.transform("members", norm), words)).where(F.size("m") > 0)
+    left = F.filter("m", lambda w: ~shares_run(w, F.col("target"), 3))
+    return x.groupBy(F.size("m").alias("named"), F.size(left).alias("left_over")).agg(F.count(F.lit(1)).alias("n"))

@@ -53,8 +53,7 @@ def test_deleting_evidence(spark):
     text = "The oxide was heated slowly, and the chloride was weighed again, although nobody had asked for the nitrate of it"
     rows = [(text, "the chloride was weighed  again", "chloride"), (text, "although nobody", "chloride"), (text, None, "chloride"), ("the chloride", None, "chloride"), (text, None, "copper")]
     df = spark.createDataFrame(rows, "t string, e string, w string")
-    edited, how = perturbation.without_evidence(F.col("t"), F.col("e"), F.col("w"))
-    got = [(r.x, r.h) for r in df.select(edited.alias("x"), how.alias("h")).collect()]
+    got = [(r.deleted, r.how) for r in perturbation.without_evidence(df, "t", F.col("e"), F.col("w")).collect()]
     assert got[0] == got[2]  # the phrase isn't there verbatim
     assert got[1][1] == "evidence_phrase" and "although nobody" not in got[1][0]
     assert got[2][1] == "clause_fallback" and "chloride" not in got[2][0]
