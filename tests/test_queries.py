@@ -30,7 +30,7 @@ def test_query(spark, duck, name):
     df = QUERIES[name](spark, DATA)
     cols = sorted(df.columns)
     rows = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr)
-    assert rows or name in ("q42_substitutions",)
+    assert rows or name in ORACLES  # where there is none, a query without rows would show nothing
     if name in ORACLES:
         r = duck.execute(ORACLES[name])
         names = [x[0] for x in r.description]
