@@ -91,7 +91,7 @@ def q58_length_bands(spark: SparkSession, d: str) -> DataFrame:
 def q59_prompts_like_targets(spark: SparkSession, d: str) -> DataFrame:
     """How many prompts have a word that resembles the target: the first sieve before any closer look."""
     rows = predictions.predictions(spark, d).select("row_id", "model", "is_future")
-    x = spread(_prompts(spark, d)).where("target <> ''").select("row_id", forms.prompt_like(F.col("target"), letter_tokens(F.col("prefix"))).alias("like"))
+    x = _prompts(spark, d).where("target <> ''").select("row_id", forms.prompt_like(F.col("target"), letter_tokens(F.col("prefix"))).alias("like"))
     return x.join(rows, "row_id").groupBy("model", "is_future").agg(F.count(F.lit(1)).alias("n"), F.count_if("like").alias("n_selected"))
 
 

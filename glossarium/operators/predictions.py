@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from glossarium.functions.canonical import canonical_form
 from glossarium.functions.text import item_key, lenient_int, norm, prefix_before
 from glossarium.operators.packed import with_slots
-from glossarium.sources.session import table
+from glossarium.sources.session import spread, table
 
 KS = (10, 20, 50, 100)
 
@@ -22,7 +22,7 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
     """One row per decoded item: is_future is 1 if the year lies beyond the model's cutoff, 0 also for undated items;
     text is in the consistent form, and words are the values of top_10_words however the list is written, without empty
     slots."""
-    p, m = table(spark, d, "postcutoff_words"), table(spark, d, "models").select("model", "cutoff_year")
+    p, m = spread(table(spark, d, "postcutoff_words")), table(spark, d, "models").select("model", "cutoff_year")
     words = F.coalesce(F.filter("slots", lambda v: v != ""), F.array().cast("array<string>"))
     rows = with_slots(p, "top_10_words").join(m, "model").select("row_id", "model", "item_id", canonical_form(F.col("text")).alias("text"), "target_word", "year", lenient_int(F.col("entry_start_year")).alias("entry_year"), "rank", words.alias("words"), "cutoff_year")
     return rows.withColumn("is_future", F.coalesce(F.col("year") > F.col("cutoff_year"), F.lit(False)).cast("int"))

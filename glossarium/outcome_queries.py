@@ -103,14 +103,14 @@ _COMPOSED = rf"""{_DONORS}, wd AS (SELECT sa.row_id, CASE WHEN len(stems) > 0 AN
 
 @query(f"WITH {_COMPOSED} SELECT model, is_future, grade, CAST(NULL AS INT) AS hit, count(*) AS n, round(avg(strict), 9) AS strict, round(avg(loose), 9) AS loose FROM co GROUP BY model, is_future, grade UNION ALL SELECT model, is_future, grade, CAST(hit AS INT), count(*), round(avg(strict), 9), round(avg(loose), 9) FROM co GROUP BY model, is_future, grade, hit")
 def q77_composition_cells(spark: SparkSession, d: str) -> DataFrame:
-    return scaffold.composition_cells(scaffold.composition(spread(_items(spark, d)))).withColumns({c: F.round(c, 9) for c in ("strict", "loose")})
+    return scaffold.composition_cells(scaffold.composition(_items(spark, d))).withColumns({c: F.round(c, 9) for c in ("strict", "loose")})
 
 
 @query(f"""WITH {_COMPOSED}, g AS (SELECT model, count(*) FILTER (is_future = 1 AND hit = 1) AS hits, count(*) FILTER (is_future = 1 AND hit = 1 AND grade <> 'NONE') AS scaffolded, count(*) FILTER (is_future = 1 AND hit = 1 AND grade <> 'NONE' AND strict = 1) AS strict, count(*) FILTER (is_future = 1 AND hit = 1 AND grade <> 'NONE' AND loose = 1) AS loose FROM co GROUP BY model)
  SELECT *, round(strict / greatest(hits, 1), 9) AS strict_share, round(loose / greatest(hits, 1), 9) AS loose_share FROM g""")
 def q78_composition_accounts(spark: SparkSession, d: str) -> DataFrame:
     """Of the hits beyond the cutoff, how many a donor in the prompt and a variant among the predictions account for."""
-    return scaffold.composition_accounts(scaffold.composition(spread(_items(spark, d)))).withColumns({c: F.round(c, 9) for c in ("strict_share", "loose_share")})
+    return scaffold.composition_accounts(scaffold.composition(_items(spark, d))).withColumns({c: F.round(c, 9) for c in ("strict_share", "loose_share")})
 
 
 _PROFILED = rf"""{_LABELLED}, pq AS (SELECT row_id, model, rank, count(*) FILTER (label = 'STEM') AS n_stem, count(*) FILTER (label = 'AFFIX') AS n_affix, count(*) FILTER (label = 'FILLER') AS n_filler, count(*) FILTER (label = 'DISTANT') AS n_distant, count(*) FILTER (novelty = 'coined') AS n_coined, greatest(count(*) FILTER (label NOT IN ('EMPTY', 'SELF')), 1) AS scored FROM lab GROUP BY ALL),
@@ -191,7 +191,7 @@ _ARMS = rf"""{_DONORS}, {_LEX}, dr AS (SELECT sa.row_id, sa.target, coalesce(ste
 
 
 def _arms(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    x = scaffold.with_donors(spread(_items(spark, d).where("target <> ''"))).withColumn("donor", F.coalesce(F.get("stems", F.lit(0)), F.get("affixes", F.lit(0))))
+    x = scaffold.with_donors(_items(spark, d).where("target <> ''")).withColumn("donor", F.coalesce(F.get("stems", F.lit(0)), F.get("affixes", F.lit(0))))
     rows = x.where("donor is not null").select("row_id", "target", "donor", "prefix")
     return rows, perturbation.edit_arms(rows, _lexicon(spark, d))
 
@@ -239,7 +239,7 @@ def q85_arm_effects(spark: SparkSession, d: str) -> DataFrame:
  SELECT route, CASE WHEN NOT alone THEN 'n/a' WHEN n <= 5 THEN 'rare' WHEN n <= 50 THEN 'common' ELSE 'very-common' END AS ending_rarity, count(*) AS n, CAST(sum(hit) AS BIGINT) AS hits, round(avg(hit), 9) AS rate FROM r LEFT JOIN en ON alone AND en.ending = right(target, 4) GROUP BY ALL""")
 def q86_routes(spark: SparkSession, d: str) -> DataFrame:
     """Recall by the route that the prompt's donors make, and, where only the ending is shared, by how many targets share it."""
-    x = scaffold.with_donors(spread(_items(spark, d).where("target <> ''"))).select("target", "route", "hit")
+    x = scaffold.with_donors(_items(spark, d).where("target <> ''")).select("target", "route", "hit")
     endings = x.where(F.length("target") > 4).groupBy(F.right("target", F.lit(4)).alias("ending")).agg(F.countDistinct("target").alias("n"))
     x = x.withColumn("ending", F.when(F.col("route") == "syntagmatic", F.right("target", F.lit(4)))).join(endings, "ending", "left")
     rarity = F.when(F.col("ending").isNull(), "n/a").when(F.col("n") <= 5, "rare").when(F.col("n") <= 50, "common").otherwise("very-common")
@@ -295,7 +295,7 @@ def q92_stride_pick(spark: SparkSession, d: str) -> DataFrame:
  SELECT row_id, target, 'scaffolded' AS kind FROM f WHERE scaffolded UNION ALL SELECT row_id, target, 'control' FROM (SELECT * FROM f WHERE NOT scaffolded ORDER BY draw LIMIT 45)""")
 def q93_prompt_sheet(spark: SparkSession, d: str) -> DataFrame:
     """A sheet of prompts: every later target that some prompt has a donor for, and 45 controls, or all, of the others."""
-    x = scaffold.with_donors(spread(_items(spark, d).where("target <> '' and is_future = 1"))).withColumn("_draw", sampling.draw_key(20260816, "row_id"))
+    x = scaffold.with_donors(_items(spark, d).where("target <> '' and is_future = 1")).withColumn("_draw", sampling.draw_key(20260816, "row_id"))
     f = x.groupBy("target").agg(F.bool_or(F.col("grade") != "NONE").alias("scaffolded"), F.min("row_id").alias("row_id"), F.min("_draw").alias("_draw"))
     controls = f.where("not scaffolded").orderBy("_draw").limit(45)
     part = lambda df, kind: df.select("row_id", "target", F.lit(kind).alias("kind"))
@@ -369,7 +369,7 @@ def q100_exhibits(spark: SparkSession, d: str) -> DataFrame:
  SELECT row_id, CAST(len(donors) AS INT) AS n_donors, CAST(len([w for w in donors if list_contains(near, w)]) AS INT) AS n_near, CAST(len([w for w in near if list_contains(donors, w)]) AS INT) AS times FROM t""")
 def q101_donor_windows(spark: SparkSession, d: str) -> DataFrame:
     """How many of a prompt's donors stand among its last 320 characters, and how often."""
-    x = scaffold.with_donors(spread(_items(spark, d))).withColumn("donors", F.array_union("stems", "affixes")).where(F.size("donors") > 0)
+    x = scaffold.with_donors(_items(spark, d)).withColumn("donors", F.array_union("stems", "affixes")).where(F.size("donors") > 0)
     near = letter_tokens(F.right("prefix", F.lit(scaffold.PREFIX_CHARS)))
     x = x.select("row_id", "donors", near.alias("near"))
     return x.select("row_id", F.size("donors").alias("n_donors"), F.size(F.array_intersect("donors", "near")).alias("n_near"), F.size(F.filter("near", lambda w: F.array_contains("donors", w))).alias("times"))

@@ -257,7 +257,7 @@ def _prompts(spark: SparkSession, d: str) -> DataFrame:
  SELECT row_id, target, array_to_string(stems, '|') AS stem_donors, array_to_string(affixes, '|') AS affix_donors, CAST(CASE WHEN last < 0 THEN -1 ELSE len(tokens) - last END AS INT) AS distance,
  CASE WHEN len(stems) > 0 AND len(affixes) > 0 THEN 'STEM+AFFIX' WHEN len(stems) > 0 THEN 'STEM' WHEN len(affixes) > 0 THEN 'AFFIX' ELSE 'NONE' END AS grade FROM m""")
 def q15_donors(spark: SparkSession, d: str) -> DataFrame:
-    return scaffold.donors(spread(_prompts(spark, d)))
+    return scaffold.donors(_prompts(spark, d))
 
 
 @query(rf"""WITH {_P}, x AS (SELECT DISTINCT row_id, target, lower(w) AS word FROM (SELECT row_id, target, unnest(regexp_extract_all(right(prefix, 320), '[A-Za-z]+')) AS w FROM p WHERE target <> '') WHERE length(w) >= 4 AND lower(w) <> target),
@@ -272,7 +272,7 @@ def q16_prompt_overlaps(spark: SparkSession, d: str) -> DataFrame:
  SELECT row_id, CAST(len([w for w in form if NOT list_contains(tokens, w)]) AS INT) AS n_attempts, array_to_string(list_sort([w for w in form if NOT list_contains(tokens, w)]), '|') AS attempts,
  CAST(len([w for w in form if list_contains(tokens, w)]) AS INT) AS n_echoes, array_to_string(list_sort([w for w in form if list_contains(tokens, w)]), '|') AS echoes FROM f""")
 def q17_attempts_and_echoes(spark: SparkSession, d: str) -> DataFrame:
-    return scaffold.attempts_and_echoes(spread(_prompts(spark, d)))
+    return scaffold.attempts_and_echoes(_prompts(spark, d))
 
 
 # the rows of neighborhood_key by the names of models and grades, however they are spelled
@@ -534,7 +534,7 @@ def q40_verification_mart(spark: SparkSession, d: str) -> DataFrame:
 @query(rf"""WITH {_DONORS}, x AS (SELECT sa.row_id, sa.stems[1] AS donor, p.prefix FROM sa JOIN p USING (row_id) WHERE len(stems) > 0), e AS (SELECT *, array_to_string([c for c in regexp_split_to_array(prefix, '[,;]\s*') if NOT contains(lower(c), lower(donor))], ', ') AS after FROM x)
  SELECT row_id, donor, CAST(length(after) AS INT) AS n_after, CASE WHEN contains(lower(after), lower(donor)) THEN 'donor_survives' WHEN regexp_matches(after, '[,;:][A-Za-z]') THEN 'punctuation_artifact' WHEN after = '' THEN 'empty' WHEN length(after) < 40 OR length(after) < 0.6 * length(prefix) THEN 'too_much_removed' ELSE 'ok' END AS status FROM e""")
 def q41_verified_deletions(spark: SparkSession, d: str) -> DataFrame:
-    p = spread(_prompts(spark, d))
+    p = _prompts(spark, d)
     x = scaffold.donors(p).where("stem_donors <> ''").select("row_id", F.substring_index("stem_donors", "|", 1).alias("donor")).join(p.select("row_id", "prefix"), "row_id")
     x = x.withColumn("after", perturbation.without_clauses(F.col("prefix"), F.col("donor")))
     return x.select("row_id", "donor", F.length("after").alias("n_after"), perturbation.deletion_status(F.col("prefix"), F.col("after"), F.col("donor")).alias("status"))
@@ -549,7 +549,7 @@ _CAPITAL = "upper(left({0}, 1)) || substring({0}, 2)"
  SELECT row_id, word, substitute, regexp_replace(regexp_replace(prefix, '\b' || {_CAPITAL.format("word")} || '\b', {_CAPITAL.format("substitute")}, 'g'), '\b' || word || '\b', substitute, 'g') AS edited FROM x JOIN nf USING (word)""")
 def q42_substitutions(spark: SparkSession, d: str) -> DataFrame:
     """Prompts with their first stem donor replaced by the word nearest to it in corpus frequency."""
-    p = spread(_prompts(spark, d))
+    p = _prompts(spark, d)
     x = scaffold.donors(p).where("stem_donors <> ''").select("row_id", F.substring_index("stem_donors", "|", 1).alias("word")).join(p.select("row_id", "prefix"), "row_id")
     counts = _lexicon(spark, d).select("word", F.col("n_docs").alias("n"))
     near = perturbation.nearest_by_frequency(x.select("word").distinct(), counts)
